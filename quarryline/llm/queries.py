@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, packing, pii, secret_scan, simhash, token_counts
+from . import chat_format, decontaminate, packing, pii, quality_gam, rp_forest, secret_scan, simhash, token_counts
 from .common import table
 
 
@@ -40,8 +40,20 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_simhash, op4_packing, op5_chat_format, op6_secret_scan, op7_pii)
+    f.__name__: f for f in (op1_token_counts, op2_simhash, op4_packing, op5_chat_format, op6_secret_scan, op7_pii, op8_decontaminate, op9_quality, op10_vector_duplicates)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -60,5 +72,14 @@ ORACLE_SQL: dict[str, str] = {
             FROM e GROUP BY conv_id
         )
         SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
-    """.replace("\\\\", "\\"),
+    """,
+    "op8_decontaminate": r"""
+        WITH dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+        iw AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
+        ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM dw)),
+        its AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM iw)),
+        size AS (SELECT item_id, count(*) AS n_shingles FROM its GROUP BY item_id)
+        SELECT doc_id, item_id, n_shingles, count(*) AS n_found, count(*) / n_shingles AS containment
+        FROM ds JOIN its USING (s) JOIN size USING (item_id) GROUP BY doc_id, item_id, n_shingles HAVING count(*) >= 0.8 * n_shingles - 1e-9
+    """,
 }
