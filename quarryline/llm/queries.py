@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, packing, pii, quality_gam, rp_forest, secret_scan, simhash, token_counts
+from . import chat_format, decontaminate, lm_mixing, packing, pii, quality_gam, rp_forest, secret_scan, simhash, token_counts
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_mixing.score(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_simhash, op4_packing, op5_chat_format, op6_secret_scan, op7_pii, op8_decontaminate, op9_quality, op10_vector_duplicates)
+    f.__name__: f for f in (op1_token_counts, op2_simhash, op3_lm_score, op4_packing, op5_chat_format, op6_secret_scan, op7_pii, op8_decontaminate, op9_quality, op10_vector_duplicates)
 }
 
 ORACLE_SQL: dict[str, str] = {
