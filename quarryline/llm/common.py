@@ -33,18 +33,21 @@ def ship(spark: SparkSession) -> None:
     sc._quarryline_shipped = True
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the folder that ``spark.checkpoint.dir`` names.
-
-    Only where that setting is empty, as in tests, a folder of this machine is used.
-    """
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Only where that is empty, as in tests, one of this machine."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        where = spark.conf.get("spark.checkpoint.dir", None)
         if where is None:
             where = tempfile.mkdtemp(prefix="quarryline-checkpoint-")
             atexit.register(shutil.rmtree, where, True)
         sc.setCheckpointDir(where)
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a checkpoint in ``checkpoint_folder``."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

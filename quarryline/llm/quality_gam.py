@@ -1,6 +1,6 @@
 """Quality classifier: a generalised additive model with pairwise interactions.
 
-``features`` gives each row 16 numbers of its text, one pass, no shuffle. Each feature has bins at quantiles of
+``text_features`` gives 16 numbers of a text. Each feature has bins at quantiles of
 the training rows. Training is cyclic boosting: feature after feature, round after round, a shallow tree (at
 most LEAVES leaves over the bins) is fitted to the gradient of the log loss and its leaf values, shrunk, are
 added to the feature's lookup table. Then the pairs of features whose joint coarse bins explain most of what
@@ -22,12 +22,11 @@ from itertools import combinations
 from operator import eq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, nullable_text, ship
+from .common import nullable_text, ship
 
 TRAIN_ROWS, FOLDS, THRESHOLD = 20_000, 5, 0.3
 BINS, PAIR_BINS, LEAVES, ROUNDS, PAIR_ROUNDS, RATE, PAIRS, MIN_LEAF, RIDGE = 32, 8, 3, 150, 60, 0.12, 6, 8, 4.0
@@ -61,18 +60,14 @@ def text_features(text: bytes) -> list[float]:
     ]
 
 
-def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = np.array([text_features(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]).reshape(-1, len(FEATURES))
-        kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-        yield pa.record_batch(kept + [pa.array(rows[:, i]) for i in range(len(FEATURES))], names=batch.schema.names[:-1] + list(FEATURES))
+def feature_rows(texts: list[bytes]) -> np.ndarray:
+    return np.array([text_features(t) for t in texts]).reshape(-1, len(FEATURES))
 
 
-def features(docs: DataFrame, keep: str = "doc_id") -> DataFrame:
-    """The column ``keep`` and FEATURES of every row."""
-    ship(docs.sparkSession)
-    kind = docs.schema[keep].dataType.simpleString()
-    return docs.select(keep, nullable_text().alias("text")).mapInArrow(_featurise, f"`{keep}` {kind}, " + ", ".join(f"{f} double" for f in FEATURES))
+def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = feature_rows(batch.column("text").cast(pa.binary()).to_pylist())
+        yield pa.record_batch([batch.column("y")] + [pa.array(rows[:, i]) for i in range(len(FEATURES))], names=["y", *FEATURES])
 
 
 def _tree(g: np.ndarray, h: np.ndarray, n: np.ndarray, leaves: int = LEAVES) -> np.ndarray:
@@ -159,29 +154,37 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def fit(rows: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> dict:
-    """Train on rows (doc_id and FEATURES) that have a label and aren't held out."""
-    known = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("y"))
-    chosen = rows.where(~held_out()).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), *FEATURES).limit(limit)
-    got = chosen.select("y", *FEATURES).toPandas()  # ``limit`` rows at most
+def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> dict:
+    """Train on documents that have a label and aren't held out. Only the chosen ones' texts reach Python."""
+    ship(docs.sparkSession)
+    known = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("y"))
+    ids = docs.where(~held_out()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(known, "doc_id")
+    chosen = F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))  # ``limit`` rows of two numbers
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), nullable_text().alias("text")).join(chosen, "doc_id")
+    rows = texts.mapInArrow(_featurise, "y int, " + ", ".join(f"{f} double" for f in FEATURES))
+    got = rows.orderBy("y", *FEATURES).limit(limit).toPandas()  # rows that share an id may be more than the ids
     return train(got[list(FEATURES)].to_numpy(float), got["y"].to_numpy(float))
 
 
-def with_scores(rows: DataFrame, model: dict) -> DataFrame:
-    """Replace FEATURES by score and predicted."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)  # tables of fixed size
-    keep = [c for c in rows.columns if c not in FEATURES]
+def with_scores(docs: DataFrame, model: dict, text: str = "text", out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """All columns of docs, and score and predicted under the names ``out``: one pass, no shuffle."""
+    ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # tables of fixed size
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = score(sent.value, b[list(FEATURES)].to_numpy(float))
-            yield b[keep].assign(score=s, predicted=(s >= THRESHOLD).astype("int32"))
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                s = score(sent.value, feature_rows(part.column("_text").cast(pa.binary()).to_pylist()))
+                kept = [part.column(c) for c in docs_columns]
+                yield pa.record_batch([*kept, pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=[*docs_columns, *out])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
-    return rows.mapInPandas(run, f"{kinds}, score double, predicted int")
+    docs_columns = docs.columns
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
+    return docs.withColumn("_text", nullable_text(text)).mapInArrow(run, f"{kinds}`{out[0]}` double, `{out[1]}` int")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
-    rows = durable(features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
-    return with_scores(rows.withColumn("held_out", held_out()), fit(rows, labels)).select("doc_id", "held_out", "score", "predicted")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return with_scores(rows, fit(docs, labels)).select("doc_id", held_out().alias("held_out"), "score", "predicted")
