@@ -1,10 +1,603 @@
-"""Queries over the parquet tables, each beside the SQL that gives the same rows."""
+"""Queries over the parquet tables, each beside the SQL that gives the same rows.
+
+Results are sets under the column names that both sides use. Every query reads its whole tables.
+"""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.functors import builtin
+from ..operators import relational as R
+from ..operators.fixpoint import Reader, checkpoint_folder, closure, fixpoint
+from ..operators.relational import ANY, Const, atom, head, join, negate
+from ..sources.facts import table
+from ..streaming.feed import drain, feed
+from .program import Database, Program
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(fn: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+# --- scans, projections, filters
+
+
+@query("SELECT DISTINCT n_nationkey AS k, n_name AS n FROM nation")
+def scan_project(spark, d):
+    return head(atom(table(spark, d, "nation", "n_nationkey", "n_name", "n_regionkey"), "k", "n", ANY), "k", "n")
+
+
+@query("SELECT DISTINCT o_custkey AS c, o_orderstatus AS s FROM orders")
+def project_distinct(spark, d):
+    return head(atom(table(spark, d, "orders", "o_custkey", "o_orderstatus"), "c", "s"), "c", "s")
+
+
+@query("SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderstatus = 'F'")
+def filter_eq_const(spark, d):
+    return head(atom(table(spark, d, "orders", "o_orderkey", "o_orderstatus"), "k", Const("F")), "k")
+
+
+@query("SELECT DISTINCT o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_orderstatus <> 'F'")
+def filter_ne(spark, d):
+    return head(R.where(atom(table(spark, d, "orders", "o_orderkey", "o_orderstatus"), "k", "s"), "s", "!=", Const("F")), "k", "s")
+
+
+@query("SELECT DISTINCT p_partkey AS k, p_size AS z FROM part WHERE p_size < 10")
+def filter_lt(spark, d):
+    return head(R.where(atom(table(spark, d, "part", "p_partkey", "p_size"), "k", "z"), "z", "<", Const(10)), "k", "z")
+
+
+@query("SELECT DISTINCT l_orderkey AS o, l_linenumber AS n FROM lineitem WHERE l_quantity > 45")
+def filter_gt(spark, d):
+    return head(R.where(atom(table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity"), "o", "n", "q"), "q", ">", Const(45.0)), "o", "n")
+
+
+@query("SELECT DISTINCT l_orderkey AS o, l_linenumber AS n, l_quantity AS q FROM lineitem WHERE l_quantity > 10 AND l_quantity < 20")
+def filter_range(spark, d):
+    rows = atom(table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity"), "o", "n", "q")
+    return head(R.where(R.where(rows, "q", ">", Const(10.0)), "q", "<", Const(20.0)), "o", "n", "q")
+
+
+@query("SELECT DISTINCT p_name AS n FROM part WHERE p_name < 'b'")
+def filter_text_order(spark, d):
+    return head(R.where(atom(table(spark, d, "part", "p_name"), "n"), "n", "<", Const("b")), "n")
+
+
+@query("SELECT DISTINCT l_orderkey AS o FROM lineitem WHERE l_linenumber = l_quantity")
+def repeated_var(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("double"), "l_quantity")
+    return head(atom(rows, "o", "x", "x"), "o")
+
+
+@query("SELECT DISTINCT n_nationkey AS k FROM nation WHERE n_nationkey = n_regionkey")
+def unify_columns(spark, d):
+    return head(R.unify(atom(table(spark, d, "nation", "n_nationkey", "n_regionkey"), "k", "r"), "k", "r"), "k")
+
+
+@query("SELECT DISTINCT r_name AS n, 1 AS one FROM region")
+def assign_literal(spark, d):
+    return head(R.assign(atom(table(spark, d, "region", "r_name"), "n"), "one", 1), "n", "one")
+
+
+@query("SELECT * FROM (VALUES (1, 'one'), (2, 'two')) AS t(k, v)")
+def fact_clause(spark, d):
+    return R.facts(spark, "k int, v string", (1, "one"), (2, "two"), (2, "two"))
+
+
+@query("SELECT DISTINCT c_custkey AS c FROM customer WHERE c_acctbal < 0")
+def bool_pred(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") < 0).alias("owes"))
+    return head(R.holds(atom(rows, "c", "owes"), "owes"), "c")
+
+
+@query("SELECT DISTINCT c_custkey AS c FROM customer WHERE NOT c_acctbal < 0")
+def bool_pred_negated(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") < 0).alias("owes"))
+    return head(R.holds(atom(rows, "c", "owes"), "owes", positive=False), "c")
+
+
+# --- joins
+
+
+@query("SELECT DISTINCT c_name AS c, n_name AS n FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def join_2(spark, d):
+    return head(join(atom(table(spark, d, "customer", "c_name", "c_nationkey"), "c", "k"), atom(table(spark, d, "nation", "n_nationkey", "n_name"), "k", "n")), "c", "n")
+
+
+@query("SELECT DISTINCT c_custkey AS c, n_name AS n, r_name AS r FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def join_3(spark, d):
+    return head(
+        join(
+            atom(table(spark, d, "customer", "c_custkey", "c_nationkey"), "c", "k"), atom(table(spark, d, "nation", "n_nationkey", "n_name", "n_regionkey"), "k", "n", "g"),
+            atom(table(spark, d, "region", "r_regionkey", "r_name"), "g", "r"),
+        ), "c", "n", "r",
+    )
+
+
+@query("""SELECT DISTINCT c_custkey AS c, s_suppkey AS s FROM customer JOIN orders ON c_custkey = o_custkey
+    JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey AND s_nationkey = c_nationkey""")
+def join_nway(spark, d):
+    return head(
+        join(
+            atom(table(spark, d, "customer", "c_custkey", "c_nationkey"), "c", "n"), atom(table(spark, d, "orders", "o_orderkey", "o_custkey"), "o", "c"),
+            atom(table(spark, d, "lineitem", "l_orderkey", "l_suppkey"), "o", "s"), atom(table(spark, d, "supplier", "s_suppkey", "s_nationkey"), "s", "n"),
+        ), "c", "s",
+    )
+
+
+@query("""SELECT DISTINCT a.user_id AS u FROM events a JOIN events b ON a.user_id = b.user_id JOIN events c ON a.user_id = c.user_id
+    WHERE a.event_type = 'click' AND b.event_type = 'purchase' AND c.event_type = 'error'""")
+def join_attributes(spark, d):
+    kinds = head(atom(table(spark, d, "events", "user_id", "event_type"), "u", "t"), "u", "t")
+    return head(join(*(atom(kinds, "u", Const(k)) for k in ("click", "purchase", "error"))), "u")
+
+
+@query("SELECT DISTINCT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey WHERE a.s_suppkey <> b.s_suppkey")
+def self_join_ne(spark, d):
+    s = table(spark, d, "supplier", "s_suppkey", "s_nationkey")
+    return head(R.where(join(atom(s, "a", "n"), atom(s, "b", "n")), "a", "!=", "b"), "a", "b")
+
+
+@query("SELECT a.r_name AS a, b.r_name AS b FROM region a, region b WHERE a.r_regionkey < b.r_regionkey")
+def theta_join_lt(spark, d):
+    r = table(spark, d, "region", "r_regionkey", "r_name")
+    return head(R.where(R.product(atom(r, "i", "a"), atom(r, "j", "b")), "i", "<", "j"), "a", "b")
+
+
+@query("SELECT a.r_name AS a, b.r_name AS b FROM region a, region b")
+def cross_product(spark, d):
+    r = table(spark, d, "region", "r_name")
+    return head(R.product(atom(r, "a"), atom(r, "b")), "a", "b")
+
+
+@query("SELECT DISTINCT doc_id AS i FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def semi_join(spark, d):
+    return head(R.semi(atom(table(spark, d, "documents", "doc_id"), "i"), atom(table(spark, d, "labels", "doc_id"), "i")), "i")
+
+
+# --- negation
+
+
+@query("SELECT DISTINCT doc_id AS i FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def anti_join(spark, d):
+    return head(negate(atom(table(spark, d, "documents", "doc_id"), "i"), atom(table(spark, d, "labels", "doc_id"), "i")), "i")
+
+
+@query("SELECT DISTINCT c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
+def anti_join_const(spark, d):
+    return head(negate(atom(table(spark, d, "customer", "c_custkey"), "c"), atom(table(spark, d, "orders", "o_custkey", "o_orderpriority"), "c", Const("1-URGENT"))), "c")
+
+
+@query("SELECT DISTINCT doc_id AS i, lang AS l FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)")
+def anti_join_wildcard(spark, d):
+    return head(negate(atom(table(spark, d, "documents", "doc_id", "lang"), "i", "l"), atom(table(spark, d, "labels", "doc_id", "quality", "toxic"), "i", ANY, ANY)), "i", "l")
+
+
+@query("SELECT DISTINCT p_partkey AS p FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')")
+def never_negation(spark, d):
+    return head(negate(atom(table(spark, d, "part", "p_partkey"), "p"), atom(table(spark, d, "lineitem", "l_partkey", "l_returnflag"), "p", Const("R"))), "p")
+
+
+# --- sets
+
+
+@query("SELECT n_name AS n FROM nation UNION SELECT r_name FROM region")
+def union_distinct(spark, d):
+    return R.union(atom(table(spark, d, "nation", "n_name"), "n"), atom(table(spark, d, "region", "r_name"), "n"))
+
+
+@query("SELECT c_nationkey AS n FROM customer WHERE c_acctbal < 0 UNION SELECT s_nationkey FROM supplier WHERE s_acctbal < 0")
+def multi_body(spark, d):
+    poor = lambda t, n, b: atom(table(spark, d, t, n, b).where(F.col(b) < 0), "n", ANY)
+    return R.union(poor("customer", "c_nationkey", "c_acctbal"), poor("supplier", "s_nationkey", "s_acctbal"))
+
+
+@query("SELECT c_nationkey AS n FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def intersect_idiom(spark, d):
+    return head(R.semi(atom(table(spark, d, "customer", "c_nationkey"), "n"), atom(table(spark, d, "supplier", "s_nationkey"), "n")), "n")
+
+
+@query("SELECT l_partkey AS p FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A'")
+def except_idiom(spark, d):
+    flagged = lambda f: atom(table(spark, d, "lineitem", "l_partkey", "l_returnflag"), "p", Const(f))
+    return R.minus(flagged("R"), flagged("A"))
+
+
+# --- conditions
+
+
+@query("SELECT r_name AS n FROM region WHERE EXISTS (SELECT 1 FROM customer WHERE c_acctbal < 0)")
+def condition_positive(spark, d):
+    return R.gate(atom(table(spark, d, "region", "r_name"), "n"), table(spark, d, "customer", "c_acctbal").where("c_acctbal < 0"))
+
+
+@query("SELECT r_name AS n FROM region WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_totalprice < 0)")
+def condition_negative(spark, d):
+    return R.gate(atom(table(spark, d, "region", "r_name"), "n"), table(spark, d, "orders", "o_totalprice").where("o_totalprice < 0"), positive=False)
+
+
+@query("SELECT EXISTS (SELECT 1 FROM labels WHERE toxic = 1) AS flag")
+def condition_to_bool(spark, d):
+    toxic = table(spark, d, "labels", "toxic").where("toxic = 1")
+    return R.union(R.gate(R.facts(spark, "flag boolean", (True,)), toxic), R.gate(R.facts(spark, "flag boolean", (False,)), toxic, positive=False))
+
+
+# --- recursion
+
+
+def _replies(spark, d) -> DataFrame:
+    """Each turn and the next one, numbered by conv_id * 1000 + turn."""
+    turns = head(atom(table(spark, d, "conversations", "conv_id", "turn"), "c", "t"), "c", "t")
+    after = head(turns.select("c", (F.col("t") - 1).alias("t"), F.col("t").alias("u")), "c", "t", "u")
+    pairs = join(turns, after)
+    return pairs.select((F.col("c") * 1000 + F.col("t")).alias("a"), (F.col("c") * 1000 + F.col("u")).alias("b")).distinct()
+
+
+REPLIES_SQL = "e AS (SELECT DISTINCT x.conv_id * 1000 + x.turn AS a, y.conv_id * 1000 + y.turn AS b FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1)"
+TC_SQL = f"WITH RECURSIVE {REPLIES_SQL}, tc AS (SELECT a, b FROM e UNION SELECT tc.a, e.b FROM tc JOIN e ON tc.b = e.a)"
+
+
+def _trade(spark, d) -> DataFrame:
+    """Nations that buy from nations, over the orders whose key 997 divides: a sparse, cyclic graph."""
+    return head(
+        join(
+            atom(table(spark, d, "customer", "c_custkey", "c_nationkey"), "c", "a"), atom(table(spark, d, "orders", "o_orderkey", "o_custkey").where("o_orderkey % 997 = 0"), "o", "c"),
+            atom(table(spark, d, "lineitem", "l_orderkey", "l_suppkey"), "o", "s"), atom(table(spark, d, "supplier", "s_suppkey", "s_nationkey"), "s", "b"),
+        ), "a", "b",
+    )
+
+
+TRADE_SQL = """e AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM customer JOIN orders ON c_custkey = o_custkey AND o_orderkey % 997 = 0
+    JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey)"""
+
+
+def _tc(edges: DataFrame, *rules) -> DataFrame:
+    return fixpoint({"tc": edges}, {"tc": list(rules)}, lambda n: edges)["tc"]
+
+
+@query(f"{TC_SQL} SELECT a, b FROM tc")
+def tc_linear(spark, d):
+    return _tc(_replies(spark, d), lambda r: head(join(atom(r("e"), "a", "x"), atom(r("tc"), "x", "b")), "a", "b"))
+
+
+@query(f"{TC_SQL} SELECT a, b FROM tc")
+def tc_left(spark, d):
+    return _tc(_replies(spark, d), lambda r: head(join(atom(r("tc"), "a", "x"), atom(r("e"), "x", "b")), "a", "b"))
+
+
+@query(f"{TC_SQL} SELECT a, b FROM tc")
+def tc_nonlinear(spark, d):
+    return closure(_replies(spark, d))
+
+
+@query(f"WITH RECURSIVE {TRADE_SQL}, tc AS (SELECT a, b FROM e UNION SELECT tc.a, e.b FROM tc JOIN e ON tc.b = e.a) SELECT a, b FROM tc")
+def tc_cyclic(spark, d):
+    return closure(_trade(spark, d))
+
+
+@query(f"WITH RECURSIVE {REPLIES_SQL}, p AS (SELECT a, b, 1 AS n FROM e UNION SELECT p.a, e.b, 1 - p.n FROM p JOIN e ON p.b = e.a) SELECT DISTINCT a, b, n::INT AS odd FROM p")
+def tc_mutual(spark, d):
+    """Pairs at an odd and at an even distance, each derived from the other."""
+    e = _replies(spark, d)
+    further = lambda of: lambda r: head(join(atom(r(of), "a", "x"), atom(r("e"), "x", "b")), "a", "b")
+    got = fixpoint({"odd": e, "even": e.limit(0)}, {"odd": [further("even")], "even": [further("odd")]}, lambda n: e)
+    return head(got["odd"].withColumn("odd", F.lit(1)).union(got["even"].withColumn("odd", F.lit(0))), "a", "b", "odd")
+
+
+@query(f"{TC_SQL} SELECT a, b FROM tc")
+def tc_multi_body(spark, d):
+    edges = _replies(spark, d)
+    return _tc(edges.limit(0).union(edges), lambda r: head(join(atom(r("e"), "a", "x"), atom(r("tc"), "x", "b")), "a", "b"), lambda r: head(join(atom(r("tc"), "a", "x"), atom(r("tc"), "x", "b")), "a", "b"))
+
+
+@query(f"{TC_SQL} SELECT a, b FROM tc WHERE a = 3000")
+def reach_bound_query(spark, d):
+    return R.lookup(closure(_replies(spark, d)), a=3000)
+
+
+@query(f"{TC_SQL} SELECT a, b FROM tc WHERE b = 3003")
+def reaching_to_query(spark, d):
+    return R.lookup(closure(_replies(spark, d)), b=3003)
+
+
+@query(f"WITH {REPLIES_SQL} SELECT a AS n FROM e UNION SELECT b FROM e")
+def is_node(spark, d):
+    e = _replies(spark, d)
+    return R.union(atom(e, "n", ANY), atom(e, ANY, "n"))
+
+
+@query("""WITH RECURSIVE p AS (SELECT 'n' || n_nationkey AS x, 'r' || n_regionkey AS y FROM nation UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer WHERE c_acctbal < -900),
+    sg AS (SELECT a.x AS x, b.x AS y FROM p a JOIN p b ON a.y = b.y WHERE a.x <> b.x UNION SELECT a.x, b.x FROM p a JOIN sg ON a.y = sg.x JOIN p b ON b.y = sg.y) SELECT x, y FROM sg""")
+def same_generation(spark, d):
+    tag = lambda t, c: F.concat(F.lit(t), F.col(c).cast("string"))
+    up = R.union(
+        table(spark, d, "nation").select(tag("n", "n_nationkey").alias("x"), tag("r", "n_regionkey").alias("y")),
+        table(spark, d, "customer").where("c_acctbal < -900").select(tag("c", "c_custkey").alias("x"), tag("n", "c_nationkey").alias("y")),
+    )
+    start = head(R.where(join(atom(up, "x", "z"), atom(up, "y", "z")), "x", "!=", "y"), "x", "y")
+    rule = lambda r: head(join(atom(r("sg"), "u", "v"), atom(r("up"), "x", "u"), atom(r("up"), "y", "v")), "x", "y")
+    return fixpoint({"sg": start}, {"sg": [rule]}, lambda n: up)["sg"]
+
+
+@query(f"""{TC_SQL}, long AS (SELECT a, b FROM tc EXCEPT SELECT a, b FROM e),
+    tc2 AS (SELECT a, b FROM long UNION SELECT tc2.a, long.b FROM tc2 JOIN long ON tc2.b = long.a) SELECT a, b FROM tc2""")
+def two_inductions(spark, d):
+    e = _replies(spark, d)
+    return closure(R.minus(closure(e), e))
+
+
+@query("""WITH RECURSIVE s AS (SELECT r_regionkey AS a, r_regionkey AS b FROM region WHERE r_regionkey = 0 UNION
+    SELECT least(s.b, x.r_regionkey), greatest(s.a, x.r_regionkey) FROM s, region x) SELECT a, b FROM s""")
+def recursion_product(spark, d):
+    regions = head(atom(table(spark, d, "region", "r_regionkey"), "x"), "x")
+    rule = lambda r: R.product(r("s"), r("x")).select(F.least("b", "x").alias("a"), F.greatest("a", "x").alias("b"))
+    return fixpoint({"s": regions.where("x = 0").select(F.col("x").alias("a"), F.col("x").alias("b"))}, {"s": [rule]}, lambda n: regions)["s"]
+
+
+@query(f"""WITH RECURSIVE {REPLIES_SQL}, turns AS (SELECT DISTINCT conv_id * 1000 + turn AS n, role FROM conversations),
+    roots AS (SELECT n FROM turns WHERE n NOT IN (SELECT b FROM e)),
+    inside AS (SELECT n AS f, n FROM roots UNION SELECT i.f, e.b FROM inside i JOIN e ON i.n = e.a JOIN turns t ON t.n = e.b WHERE t.n NOT IN (SELECT n FROM roots)) SELECT f, n FROM inside""")
+def recursion_negation(spark, d):
+    """Turns by the first turn of their conversation: a recursion over the negation of a lower stratum."""
+    e = _replies(spark, d)
+    turns = head(table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("n")), "n")
+    roots = negate(turns, atom(e, ANY, "n"))
+    rule = lambda r: head(negate(join(atom(r("inside"), "f", "m"), atom(r("e"), "m", "n")), atom(r.settled("roots"), "n")), "f", "n")
+    return fixpoint({"inside": roots.select(F.col("n").alias("f"), "n")}, {"inside": [rule]}, lambda n: {"e": e, "roots": roots}[n])["inside"]
+
+
+def points_to_program() -> Program:
+    """Field-sensitive points-to analysis: assign, var_points_to and alias derive each other."""
+    p = Program().message("assign_alloc", "v long, h long").message("load", "base long, dest long, f long")
+    p.message("primitive_assign", "src long, dest long").message("store", "src long, base long, f long")
+    p.relation("assign", "src long, dest long", lambda r: r("primitive_assign"), lambda r: head(join(atom(r("store"), "s", "b", "f"), atom(r("alias"), "b", "c"), atom(r("load"), "c", "d", "f")), "s", "d"))
+    p.relation("var_points_to", "v long, h long", lambda r: r("assign_alloc"), lambda r: head(join(atom(r("assign"), "s", "v"), atom(r("var_points_to"), "s", "h")), "v", "h"))
+    p.relation("alias", "a long, b long", lambda r: head(join(atom(r("var_points_to"), "a", "h"), atom(r("var_points_to"), "b", "h")), "a", "b"))
+    return p
+
+
+@query()
+def points_to(spark, d):
+    """Over small facts made from the keys of lineitem."""
+    li = table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").where("l_orderkey % 1999 = 0")
+    var = lambda c, m: F.pmod(F.col(c), F.lit(m)).cast("long")
+    db = Database(spark, points_to_program())
+    db.ingest({
+        "assign_alloc": li.select(var("l_partkey", 83).alias("v"), var("l_suppkey", 29).alias("h")), "load": li.select(var("l_suppkey", 83).alias("base"), var("l_partkey", 83).alias("dest"), var("l_linenumber", 5).alias("f")),
+        "primitive_assign": li.select(var("l_orderkey", 83).alias("src"), var("l_partkey", 83).alias("dest")), "store": li.select(var("l_partkey", 83).alias("src"), var("l_orderkey", 83).alias("base"), var("l_linenumber", 5).alias("f")),
+    })
+    return db.rows["var_points_to"].select("v", "h")
+
+
+@query("WITH RECURSIVE f AS (SELECT 0::BIGINT AS i, 0::BIGINT AS x, 1::BIGINT AS y UNION ALL SELECT i + 1, y, x + y FROM f WHERE i < 30) SELECT i, x FROM f")
+def fibonacci_loop(spark, d):
+    """Recursion through arithmetic functors."""
+    fn = builtin()
+
+    def rule(r: Reader) -> DataFrame:
+        rows = R.where(atom(r("f"), "i", "x", "y"), "i", "<", Const(30))
+        return head(fn.apply(fn.apply(rows, "add", "i", Const(1), "j"), "add", "x", "y", "z"), "j", "y", "z")
+
+    start = R.facts(spark, "i long, x long, y long", (0, 0, 1))
+    return head(fixpoint({"f": start}, {"f": [rule]}, lambda n: start)["f"], "i", "x")
+
+
+# --- functors
+
+
+@query("SELECT DISTINCT n_name AS n, length(n_name) AS k FROM nation")
+def functor_map(spark, d):
+    return head(builtin().apply(atom(table(spark, d, "nation", "n_name"), "n"), "length", "n", "k"), "n", "k")
+
+
+@query("SELECT DISTINCT l_orderkey AS o, least(l_partkey, l_suppkey) AS low, greatest(l_partkey, l_suppkey) AS high FROM lineitem")
+def functor_struct(spark, d):
+    return head(builtin().apply(atom(table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey"), "o", "p", "s"), "min_max", "p", "s", "low", "high"), "o", "low", "high")
+
+
+@query("SELECT DISTINCT try_cast(split_part(p_brand, '#', 2) AS BIGINT) AS n FROM part WHERE try_cast(split_part(p_brand, '#', 2) AS BIGINT) IS NOT NULL UNION SELECT try_cast(p_brand AS BIGINT) FROM part WHERE try_cast(p_brand AS BIGINT) IS NOT NULL")
+def functor_optional(spark, d):
+    fn, brands = builtin(), atom(table(spark, d, "part", "p_brand"), "b")
+    tail = brands.select(F.coalesce(F.get(F.split("b", "#"), F.lit(1)), F.lit("")).alias("t"))
+    return R.union(head(fn.apply(tail, "parse_long", "t", "n"), "n"), head(fn.apply(brands, "parse_long", "b", "n"), "n"))
+
+
+@query("SELECT DISTINCT item_id AS i, w FROM (SELECT item_id, unnest(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+')) AS w FROM benchmark) WHERE w <> ''")
+def functor_flatmap(spark, d):
+    return head(builtin().apply(atom(table(spark, d, "benchmark", "item_id", "text"), "i", "t"), "word", "t", "w"), "i", "w")
+
+
+@query("SELECT DISTINCT p_partkey AS p FROM part WHERE contains(p_name, 'a')")
+def functor_filter(spark, d):
+    return head(builtin().apply(atom(table(spark, d, "part", "p_partkey", "p_name"), "p", "n"), "contains", "n", Const("a")), "p")
+
+
+@query("SELECT DISTINCT p_partkey AS p FROM part WHERE NOT contains(p_name, '1')")
+def functor_negated(spark, d):
+    return head(builtin().apply(atom(table(spark, d, "part", "p_partkey", "p_name"), "p", "n"), "contains", "n", Const("1"), negated=True), "p")
+
+
+@query("SELECT DISTINCT l_partkey AS p, l_suppkey AS s, l_partkey - l_suppkey AS x FROM lineitem")
+def functor_inverse_pattern(spark, d):
+    """x with s + x = p: the sum and one operand are bound, the other is free."""
+    return head(builtin().apply(atom(table(spark, d, "lineitem", "l_partkey", "l_suppkey"), "p", "s"), "add", "s", "x", "p"), "p", "s", "x")
+
+
+@query("SELECT DISTINCT page_id AS i, k::BIGINT AS k, part FROM (SELECT page_id, unnest(string_split(url, '/')) AS part, generate_subscripts(string_split(url, '/'), 1) - 1 AS k FROM pages)")
+def functor_enumerate(spark, d):
+    rows = table(spark, d, "pages").select("page_id", F.split("url", "/").alias("l"))
+    return head(builtin().apply(atom(rows, "i", "l"), "enumerate", "l", "k", "part"), "i", "k", "part")
+
+
+# --- aggregates and merges
+
+
+@query("SELECT o_custkey AS c, count(DISTINCT o_orderkey) AS n FROM orders GROUP BY o_custkey")
+def agg_count(spark, d):
+    return R.aggregate(atom(table(spark, d, "orders", "o_custkey", "o_orderkey"), "c", "o"), ["c"], ["o"], n=F.count("*"))
+
+
+@query("SELECT l_suppkey AS s, sum(l_linenumber)::BIGINT AS total FROM (SELECT DISTINCT l_suppkey, l_orderkey, l_linenumber FROM lineitem) GROUP BY l_suppkey")
+def agg_sum(spark, d):
+    return R.aggregate(atom(table(spark, d, "lineitem", "l_suppkey", "l_orderkey", "l_linenumber"), "s", "o", "n"), ["s"], ["o", "n"], total=F.sum("n"))
+
+
+@query("SELECT l_suppkey AS s, sum(DISTINCT l_linenumber)::BIGINT AS total FROM lineitem GROUP BY l_suppkey")
+def agg_over_set(spark, d):
+    """The order is projected away before summing, so equal numbers count once."""
+    return R.aggregate(atom(table(spark, d, "lineitem", "l_suppkey", "l_orderkey", "l_linenumber"), "s", ANY, "n"), ["s"], ["n"], total=F.sum("n"))
+
+
+@query("SELECT o_custkey AS c, min(o_totalprice) AS low FROM orders GROUP BY o_custkey")
+def agg_min(spark, d):
+    return R.aggregate(atom(table(spark, d, "orders", "o_custkey", "o_totalprice"), "c", "p"), ["c"], ["p"], low=F.min("p"))
+
+
+@query("SELECT o_custkey AS c, max(o_orderdate) AS last FROM orders GROUP BY o_custkey")
+def agg_max(spark, d):
+    return R.aggregate(atom(table(spark, d, "orders", "o_custkey", "o_orderdate"), "c", "t"), ["c"], ["t"], last=F.max("t"))
+
+
+@query("SELECT p_brand AS b, (sum(p_size) // count(*))::BIGINT AS mean FROM (SELECT DISTINCT p_brand, p_partkey, p_size FROM part) GROUP BY p_brand")
+def agg_avg_two_aggs(spark, d):
+    """A sum and a count, each an aggregate of its own, joined and divided."""
+    rows = atom(table(spark, d, "part", "p_brand", "p_partkey", "p_size"), "b", "p", "z")
+    both = join(R.aggregate(rows, ["b"], ["p", "z"], total=F.sum("z")), R.aggregate(rows, ["b"], ["p"], n=F.count("*")))
+    return head(builtin().apply(both, "div", "total", "n", "mean"), "b", "mean")
+
+
+@query("SELECT o_orderstatus AS s, o_orderpriority AS p, count(DISTINCT o_orderkey) AS n, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY ALL")
+def agg_config(spark, d):
+    rows = atom(table(spark, d, "orders", "o_orderstatus", "o_orderpriority", "o_orderkey", "o_totalprice"), "s", "p", "o", "t")
+    return R.aggregate(rows, ["s", "p"], ["o", "t"], n=F.count("*"), low=F.min("t"), high=F.max("t"))
+
+
+@query("SELECT l_orderkey AS o, min(l_partkey) AS p FROM lineitem GROUP BY l_orderkey")
+def mutable_min(spark, d):
+    return R.keyed_merge(atom(table(spark, d, "lineitem", "l_orderkey", "l_partkey"), "o", "p"), ["o"], "p", "min")
+
+
+@query("SELECT user_id AS u, count(*) AS n FROM events GROUP BY user_id")
+def mutable_sum(spark, d):
+    ones = head(atom(table(spark, d, "events", "user_id", "event_id"), "u", "e"), "u", "e").withColumn("n", F.lit(1).cast("long"))
+    return R.keyed_merge(ones, ["u"], "n", "sum")
+
+
+@query("SELECT user_id AS u, arg_max(event_type, event_id) AS t FROM events GROUP BY user_id")
+def mutable_last(spark, d):
+    """A merge that keeps the proposed value: a fold in the order of event_id."""
+    return R.keyed_merge(atom(table(spark, d, "events", "user_id", "event_type", "event_id"), "u", "t", "e"), ["u"], "t", lambda old, new: new, order="e")
+
+
+# --- queries, updates, streams
+
+
+@query("SELECT s_suppkey AS s, s_nationkey AS n FROM supplier WHERE s_nationkey = 3 ORDER BY ALL LIMIT 1")
+def first_query(spark, d):
+    return R.first(R.lookup(atom(table(spark, d, "supplier", "s_suppkey", "s_nationkey"), "s", "n"), n=3))
+
+
+@query("SELECT n_nationkey AS n, n_name AS name FROM nation WHERE n_nationkey = 7")
+def forced_query(spark, d):
+    """The bound parameter is sent as a message, and what that derives is read."""
+    p = Program().message("ask", "n long").message("nation", "n long, name string")
+    p.relation("answer", "n long, name string", lambda r: head(join(atom(r("ask"), "n"), atom(r("nation"), "n", "name")), "n", "name")).query("name_of", "answer", "bf", forces="ask")
+    db = Database(spark, p)
+    db.ingest({"nation": table(spark, d, "nation", "n_nationkey", "n_name")})
+    return db.query("name_of", 7, None).select(F.col("n").cast("int").alias("n"), "name")
+
+
+def _closure_program() -> Program:
+    p = Program().message("edge", "a long, b long", differential=True)
+    p.relation("tc", "a long, b long", lambda r: r("edge"), lambda r: head(join(atom(r("tc"), "a", "x"), atom(r("edge"), "x", "b")), "a", "b"))
+    return p.publish("tc", differential=True)
+
+
+@query("SELECT DISTINCT o_custkey AS c, o_orderkey AS o FROM orders WHERE o_orderstatus <> 'F'")
+def diff_add_remove(spark, d):
+    p = Program().message("order", "c long, o long", differential=True).relation("open", "c long, o long", lambda r: r("order"))
+    orders, db = table(spark, d, "orders", "o_custkey", "o_orderkey", "o_orderstatus"), Database(spark, p)
+    pairs = lambda df: df.select("o_custkey", "o_orderkey")
+    db.ingest({"order": pairs(orders)})
+    db.ingest(removed={"order": pairs(orders.where("o_orderstatus = 'F'"))})
+    return db.rows["open"].select("c", "o")
+
+
+@query(f"WITH RECURSIVE {TRADE_SQL}, k AS (SELECT a, b FROM e WHERE (a + b) % 5 <> 0), tc AS (SELECT a, b FROM k UNION SELECT tc.a, k.b FROM tc JOIN k ON tc.b = k.a) SELECT a::BIGINT AS a, b::BIGINT AS b FROM tc")
+def diff_tc_retract(spark, d):
+    """The closure after edges are removed, from the closure with them."""
+    edges, db = _trade(spark, d), Database(spark, _closure_program())
+    db.ingest({"edge": edges})
+    db.ingest(removed={"edge": edges.where("(a + b) % 5 = 0")})
+    return db.rows["tc"].select("a", "b")
+
+
+@query(f"""WITH RECURSIVE {TRADE_SQL}, k AS (SELECT a, b FROM e WHERE (a + b) % 5 <> 0), tc AS (SELECT a, b FROM e UNION SELECT tc.a, e.b FROM tc JOIN e ON tc.b = e.a),
+    left_ AS (SELECT a, b FROM k UNION SELECT t.a, k.b FROM left_ t JOIN k ON t.b = k.a)
+    SELECT a::BIGINT AS a, b::BIGINT AS b, false AS added FROM (SELECT a, b FROM tc EXCEPT SELECT a, b FROM left_)""")
+def diff_publish_log(spark, d):
+    """What subscribers get of that removal."""
+    edges, db, logs = _trade(spark, d), Database(spark, _closure_program()), []
+    db.ingest({"edge": edges})
+    db.subscribe("tc", logs.append)
+    db.ingest(removed={"edge": edges.where("(a + b) % 5 = 0")})
+    return logs[0].select("a", "b", "added") if logs else db.rows["tc"].limit(0).withColumn("added", F.lit(False))
+
+
+@query("SELECT DISTINCT doc_id AS i FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def diff_negation_flip(spark, d):
+    """Rows that go because facts are added under a negation."""
+    p = Program().message("doc", "i long").message("label", "i long").relation("plain", "i long", lambda r: head(negate(atom(r("doc"), "i"), atom(r.settled("label"), "i")), "i"))
+    db = Database(spark, p)
+    db.ingest({"doc": table(spark, d, "documents", "doc_id")})
+    db.ingest({"label": table(spark, d, "labels", "doc_id")})
+    return db.rows["plain"].select("i")
+
+
+@query("SELECT DISTINCT r_regionkey::BIGINT AS r FROM region")
+def diff_conditions(spark, d):
+    """A condition that comes, goes and comes again with its only fact."""
+    p = Program().message("switch", "x long", differential=True).message("region", "r long")
+    p.relation("on", "r long", lambda r: R.gate(r("region"), r.settled("switch")))
+    db, fact = Database(spark, p), R.facts(spark, "x long", (1,))
+    db.ingest({"region": table(spark, d, "region", "r_regionkey"), "switch": fact})
+    db.ingest(removed={"switch": fact})
+    if not db.rows["on"].isEmpty():
+        raise AssertionError("the condition is gone")
+    db.ingest({"switch": fact})
+    return db.rows["on"].select("r")
+
+
+@query("SELECT DISTINCT user_id AS u, event_type AS t FROM events")
+def stream_ingest(spark, d):
+    """Events as a stream of files, ingested in micro-batches."""
+    p = Program().message("event", "u long, t string").relation("seen", "u long, t string", lambda r: r("event"))
+    db, schema = Database(spark, p), table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).select("user_id", "event_type")
+    drain(feed(db, "event", stream), f"{checkpoint_folder(spark)}/stream-{tempfile.mktemp(dir='')[1:]}")
+    return db.rows["seen"].select("u", "t")
+
+
+@query(f"{TC_SQL} SELECT a, b FROM tc WHERE b IN (3003, 6002)")
+def lazy_unlock(spark, d):
+    """Pairs that lead to a node, only for nodes that a message unlocked."""
+    p = Program().message("edge", "a long, b long").message("unlock", "b long")
+    p.relation("reaching", "a long, b long", lambda r: head(join(atom(r("edge"), "a", "b"), atom(r("unlock"), "b")), "a", "b"), lambda r: head(join(atom(r("edge"), "a", "x"), atom(r("reaching"), "x", "b")), "a", "b"))
+    db = Database(spark, p)
+    db.ingest({"edge": _replies(spark, d)})
+    db.ingest({"unlock": R.facts(spark, "b long", (3003,), (6002,))})
+    return db.rows["reaching"].select("a", "b")
