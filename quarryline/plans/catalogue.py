@@ -72,9 +72,9 @@ def filter_range(spark, d):
     return head(R.where(R.where(rows, "q", ">", Const(10.0)), "q", "<", Const(20.0)), "o", "n", "q")
 
 
-@query("SELECT DISTINCT p_name AS n FROM part WHERE p_name < 'b'")
+@query("SELECT DISTINCT p_brand AS b FROM part WHERE p_brand < 'Brand#3'")
 def filter_text_order(spark, d):
-    return head(R.where(atom(table(spark, d, "part", "p_name"), "n"), "n", "<", Const("b")), "n")
+    return head(R.where(atom(table(spark, d, "part", "p_brand"), "b"), "b", "<", Const("Brand#3")), "b")
 
 
 @query("SELECT DISTINCT l_orderkey AS o FROM lineitem WHERE l_linenumber = l_quantity")
@@ -187,9 +187,9 @@ def anti_join_wildcard(spark, d):
     return head(negate(atom(table(spark, d, "documents", "doc_id", "lang"), "i", "l"), atom(table(spark, d, "labels", "doc_id", "quality", "toxic"), "i", ANY, ANY)), "i", "l")
 
 
-@query("SELECT DISTINCT p_partkey AS p FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')")
+@query("SELECT DISTINCT doc_id AS i FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id AND toxic = 1)")
 def never_negation(spark, d):
-    return head(negate(atom(table(spark, d, "part", "p_partkey"), "p"), atom(table(spark, d, "lineitem", "l_partkey", "l_returnflag"), "p", Const("R"))), "p")
+    return head(negate(atom(table(spark, d, "documents", "doc_id"), "i"), atom(table(spark, d, "labels", "doc_id", "toxic"), "i", Const(1))), "i")
 
 
 # --- sets
@@ -211,10 +211,10 @@ def intersect_idiom(spark, d):
     return head(R.semi(atom(table(spark, d, "customer", "c_nationkey"), "n"), atom(table(spark, d, "supplier", "s_nationkey"), "n")), "n")
 
 
-@query("SELECT l_partkey AS p FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A'")
+@query("SELECT doc_id AS i FROM labels WHERE quality = 1 EXCEPT SELECT doc_id FROM labels WHERE toxic = 1")
 def except_idiom(spark, d):
-    flagged = lambda f: atom(table(spark, d, "lineitem", "l_partkey", "l_returnflag"), "p", Const(f))
-    return R.minus(flagged("R"), flagged("A"))
+    marked = lambda c: atom(table(spark, d, "labels", "doc_id", c), "i", Const(1))
+    return R.minus(marked("quality"), marked("toxic"))
 
 
 # --- conditions
@@ -426,9 +426,9 @@ def functor_filter(spark, d):
     return head(builtin().apply(atom(table(spark, d, "part", "p_partkey", "p_name"), "p", "n"), "contains", "n", Const("a")), "p")
 
 
-@query("SELECT DISTINCT p_partkey AS p FROM part WHERE NOT contains(p_name, '1')")
+@query("SELECT DISTINCT p_partkey AS p FROM part WHERE NOT contains(p_name, 'a')")
 def functor_negated(spark, d):
-    return head(builtin().apply(atom(table(spark, d, "part", "p_partkey", "p_name"), "p", "n"), "contains", "n", Const("1"), negated=True), "p")
+    return head(builtin().apply(atom(table(spark, d, "part", "p_partkey", "p_name"), "p", "n"), "contains", "n", Const("a"), negated=True), "p")
 
 
 @query("SELECT DISTINCT l_partkey AS p, l_suppkey AS s, l_partkey - l_suppkey AS x FROM lineitem")
