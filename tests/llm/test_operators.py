@@ -296,7 +296,7 @@ def test_containment_both_ways(spark, docs, texts, small):
     items = spark.read.parquet(f"{small}/benchmark.parquet")
     more = spark.createDataFrame([(7000, "too short"), (7001, None), (7002, "The x of it"), (7003, "a b c d e"), (7003, "a b c d e")], "item_id long, text string")
     rng = random.Random(2)
-    words = [[f"w{rng.randrange(3000)}" for _ in range(rng.randint(6, 90))] for _ in range(40)]
+    words = [[f"w{rng.randrange(3000)}" for _ in range(rng.randint(6, 90))] for _ in range(80)]
     planted = []
     for k, w in enumerate(words):
         cut = w[: max(5, int(len(w) * rng.uniform(0.6, 1)))]
