@@ -162,7 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> dict:
     chosen = F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))  # ``limit`` rows of two numbers
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), nullable_text().alias("text")).join(chosen, "doc_id")
     rows = texts.mapInArrow(_featurise, "y int, " + ", ".join(f"{f} double" for f in FEATURES))
-    got = rows.orderBy("y", *FEATURES).limit(limit).toPandas()  # rows that share an id may be more than the ids
+    # rows that share an id may be more than the ids; the order by hash keeps both classes among those chosen
+    got = rows.orderBy(F.xxhash64(*FEATURES), "y", *FEATURES).limit(limit).toPandas()
     return train(got[list(FEATURES)].to_numpy(float), got["y"].to_numpy(float))
 
 
