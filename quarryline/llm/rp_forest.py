@@ -1,11 +1,14 @@
 """Near duplicates of vectors by a forest of random-projection trees.
 
-A tree splits its space again and again at the median of a random projection; vectors within SPILL (a share of
-the node's vectors) of the median go to both sides. Vectors are compared, by cosine in double precision and only
-under equal labels, within the leaves of TREES trees; the leaf of a vector is found by DEPTH comparisons. The
-splits are fitted to at most FIT_ROWS vectors, those of least hash; every vector is indexed. The depth follows the
-number of vectors of the largest label, so that leaves hold about LEAF_ROWS. A leaf that is larger anyway is cut
-into blocks and every pair of blocks is compared, so no task holds more than two blocks and nothing is left out.
+A tree splits its space again and again at the median of a random projection; vectors near the median go to both
+sides: those within SPILL (a share of the node's vectors), and those within REACH of the distance of a pair at the
+threshold, as fewer would part such pairs. A node that this would spill more than CROWDED of, a group of near copies
+at the median, is not split along that direction, nor is one of fewer than FIT_LEAST sample vectors. Vectors are
+compared, by cosine in double precision and only under equal labels, within the leaves of TREES trees; the leaf of a
+vector is found by DEPTH comparisons. The splits are fitted to a sample, the vectors of least hash, that grows with the
+depth; every vector is indexed. The depth follows the number of vectors of the largest label, so that leaves hold about
+LEAF_ROWS. A leaf that is larger anyway is cut into blocks and every pair of blocks is compared, so no task holds more
+than two blocks and nothing is left out.
 
 Equal vectors are one row with a multiplicity, so a group of copies gives no pairs. A pair that meets in several
 leaves counts in the first of them, which each vector's list of leaves tells; so every task reports a link count
@@ -29,24 +32,34 @@ from pyspark.sql import functions as F
 from .common import components, durable, ship
 
 THRESHOLD, TREES, SPILL, LEAF_ROWS, FIT_ROWS, MAX_DEPTH, BLOCK, SEED = 0.93, 8, 0.12, 256, 20_000, 14, 1024, 17
+#: Half the spill zone over the distance of a pair at the threshold; share of a node that may spill; sample vectors that a split needs.
+REACH, CROWDED, FIT_LEAST = 0.4, 0.25, 16
 
 
 class Forest:
     """Directions, one per tree and level, and the range of projections that spills, one per node."""
 
-    def __init__(self, sample: np.ndarray, depth: int, trees: int, spill: float, seed: int = SEED):
+    def __init__(self, sample: np.ndarray, depth: int, trees: int, spill: float, seed: int = SEED, threshold: float = THRESHOLD):
         rng, width = np.random.default_rng(seed), sample.shape[1]
         self.depth, self.trees = depth, trees
         self.directions = rng.standard_normal((trees, depth, width))
-        self.low, self.high = np.zeros((trees, 1 << depth)), np.zeros((trees, 1 << depth))
+        # a node that isn't split has all its vectors on the left
+        self.low, self.high = np.full((trees, 1 << depth), np.inf), np.full((trees, 1 << depth), np.inf)
+        reach = REACH * math.sqrt(max(0.0, 2 - 2 * threshold))  # projections of such a pair differ by about its distance
         for t in range(trees):
             members = {1: np.arange(len(sample))}
             for level in range(depth):
                 along, below = sample @ self.directions[t, level], {}
                 for node, rows in members.items():
                     x = along[rows]
-                    a, m, b = np.quantile(x, [0.5 - spill / 2, 0.5, 0.5 + spill / 2]) if len(x) else (0.0, 0.0, 0.0)
-                    self.low[t, node], self.high[t, node] = min(a, m), max(b, m)
+                    below[2 * node] = rows
+                    if len(x) < FIT_LEAST:
+                        continue
+                    a, m, b = np.quantile(x, [0.5 - spill / 2, 0.5, 0.5 + spill / 2])
+                    a, b = min(a, m - reach), max(b, m + reach)
+                    if ((x >= a) & (x <= b)).mean() > max(CROWDED, spill):
+                        continue
+                    self.low[t, node], self.high[t, node] = a, b
                     below[2 * node], below[2 * node + 1] = rows[x <= m], rows[x > m]
                 members = below
 
@@ -85,11 +98,16 @@ def _compare(table: pa.Table, threshold: float) -> pa.Table:
     if table.column("i")[0].as_py() != table.column("j")[0].as_py():  # links inside a block belong to the block's own task
         cross = side[i] != side[j]
         i, j = i[cross], j[cross]
-    first = np.empty(len(i), np.int64)
-    for s in range(0, len(i), 20_000):
-        a, b = codes[i[s : s + 20_000]], codes[j[s : s + 20_000]]
-        common = (a[:, :, None] == b[:, None, :]).any(2) & (a >= 0)
-        first[s : s + 20_000] = np.where(common, a, np.iinfo(np.int64).max).min(1)
+    first = np.full(len(i), np.iinfo(np.int64).max)
+    for s in range(0, len(i), 100_000):  # lists ascend, so the first common leaf found is the least
+        left = np.arange(s, min(s + 100_000, len(i)))
+        for c in range(codes.shape[1]):
+            a = codes[i[left], c]
+            hit = (codes[j[left]] == a[:, None]).any(1) & (a >= 0)
+            first[left[hit]] = a[hit]
+            left = left[~hit]
+            if not len(left):
+                break
     own = first == leaf
     count = np.bincount(i[own], n[j[own]], len(ids)) + np.bincount(j[own], n[i[own]], len(ids))
     root = np.arange(len(ids))
@@ -122,8 +140,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, trees: int
     for width, most in sizes:
         depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(most / leaf_rows))))
         mine = unique.where(F.col("width") == width)
-        sample = mine.orderBy(F.xxhash64("embedding"), "rid").limit(FIT_ROWS).select("embedding").toArrow()["embedding"].combine_chunks()
-        forest = spark.sparkContext.broadcast(Forest(_unit(sample), depth, trees, spill))  # 2 ** MAX_DEPTH nodes a tree at most
+        fit = max(FIT_ROWS, FIT_LEAST << depth)  # 2 ** MAX_DEPTH * FIT_LEAST vectors at most
+        sample = mine.orderBy(F.xxhash64("embedding"), "rid").limit(fit).select("embedding").toArrow()["embedding"].combine_chunks()
+        forest = spark.sparkContext.broadcast(Forest(_unit(sample), depth, trees, spill, threshold=threshold))  # 2 ** MAX_DEPTH nodes a tree at most
 
         def index(batches: Iterator[pa.RecordBatch], forest=forest) -> Iterator[pa.RecordBatch]:
             for whole in batches:
