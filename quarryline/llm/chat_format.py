@@ -47,11 +47,9 @@ def format_chats(turns: DataFrame, parts: str | None = None) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     list_of = F.col(parts).cast(f"array<{PART}>") if parts else F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("long").alias("tokens")))
     role = F.coalesce(F.col("role").cast("string"), F.lit(""))
-    rows = turns.select("conv_id", "turn", role.alias("role"), (text if not parts else F.lit("")).alias("text"), F.coalesce(list_of, F.array().cast(f"array<{PART}>")).alias("parts"))
-    if parts is None:
-        rows = rows.select("conv_id", "turn", "role", "text", escape(F.col("text")).alias("content"), F.array().cast(f"array<{PART}>").alias("media"))
-    else:
-        rows = rows.select("conv_id", "turn", "role", F.array_join(F.transform("parts", _visit), "").alias("text"), F.array_join(F.transform("parts", _visit), "").alias("content"), F.filter("parts", lambda p: F.coalesce(p["type"] != "text", F.lit(True))).alias("media"))
+    visited = F.array_join(F.transform("parts", _visit), "")
+    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("plain") if not parts else F.lit("").alias("plain"), F.coalesce(list_of, F.array().cast(f"array<{PART}>")).alias("parts"))
+    rows = rows.select("conv_id", "turn", "role", (visited if parts else F.col("plain")).alias("text"), visited.alias("content"), F.filter("parts", lambda p: F.coalesce(p["type"] != "text", F.lit(True))).alias("media"))
     head = F.concat(F.lit(START), F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\\l")), F.lit("\n"))
     rows = rows.withColumn("head", head).withColumn("piece", F.concat("head", "content", F.lit(f"{END}\n")))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
