@@ -2,17 +2,20 @@
 
 A turn is ``<|im_start|>role``, a new line, its content, ``<|im_end|>`` and a new line. A content part is
 visited by its type: text is escaped and put down; image, audio and document parts become placeholders
-``<|type|>`` in their order, and their references and expanded token counts are recorded as attachments.
+``<|type|>`` in their order, and their references and expanded token counts are recorded as attachments: the
+part's own count if it has one, else that of EXPANDED.
 
 Escaping is reversible: a backslash becomes ``\\s`` and ``<|`` becomes ``<\\p|``, so no text can hold a
 control string; in roles a new line becomes ``\\l``. ``read_back`` takes formatted text apart again.
 
 ``loss_spans`` are the code-point ranges that count for the loss: the content of every assistant turn.
+``masked`` cuts them out of the formatted text again.
 
 All of it is DataFrame functions with one shuffle by conversation. A conversation ends up in one row, as
 its formatted text is one value. Defined results: turns go by turn, role and text, nulls first, repeated
-rows stay; null role or text counts as empty; rows with a null conv_id form one conversation; a part of
-another type is a placeholder of that type. Columns of other names are not read.
+rows stay; null role or text counts as empty; rows with a null conv_id form one conversation. The types of
+parts are a closed set, so no type can make a control string: a part of another type, or of none, is the
+placeholder ``<|other|>``, its type is kept in the attachment alone. Columns of other names are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from pyspark.sql import functions as F
 START, END = "<|im_start|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
 PART = "struct<type:string,text:string,ref:string,tokens:long>"
+#: Tokens that a placeholder stands for where its part doesn't say.
+EXPANDED = {"image": 256, "audio": 100, "document": 512, "other": 1}
 
 
 def escape(c: Column) -> Column:
@@ -33,10 +38,22 @@ def unescape(c: Column) -> Column:
     return F.replace(F.replace(F.replace(c, F.lit("\\l"), F.lit("\n")), F.lit("\\p"), F.lit("")), F.lit("\\s"), F.lit("\\"))
 
 
+def _kind(part: Column) -> Column:
+    """Type of a part that isn't text, of the closed set."""
+    return F.when(part["type"].isin("image", "audio", "document"), part["type"]).otherwise(F.lit("other"))
+
+
 def _visit(part: Column) -> Column:
     """Content of one part: escaped text, or the placeholder of its type."""
     text = escape(F.coalesce(part["text"], F.lit("")))
-    return F.when(part["type"] == "text", text).otherwise(F.concat(F.lit("<|"), F.regexp_replace(F.coalesce(part["type"], F.lit("unknown")), r"[^A-Za-z0-9_]", "_"), F.lit("|>")))
+    return F.when(part["type"] == "text", text).otherwise(F.concat(F.lit("<|"), _kind(part), F.lit("|>")))
+
+
+def _expanded(part: Column) -> Column:
+    known = F.lit(None).cast("long")
+    for kind, n in EXPANDED.items():
+        known = F.when(_kind(part) == kind, F.lit(n).cast("long")).otherwise(known)
+    return F.when(part["tokens"] >= 0, part["tokens"]).otherwise(known)
 
 
 def format_chats(turns: DataFrame, parts: str | None = None) -> DataFrame:
@@ -58,7 +75,7 @@ def format_chats(turns: DataFrame, parts: str | None = None) -> DataFrame:
     loss = F.when(F.col("role") == LOSS_ROLE, F.struct(begin.alias("start"), (begin + F.length("content")).alias("end")))
     grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("n", "piece", loss.alias("loss"), "media"))).alias("t"))
     spans = F.filter(F.transform("t", lambda x: x["loss"]), lambda x: x.isNotNull())
-    media = F.transform(F.flatten(F.transform("t", lambda x: x["media"])), lambda p, i: F.struct(i.alias("position"), p["type"].alias("type"), p["ref"].alias("ref"), F.coalesce(p["tokens"], F.lit(1)).alias("tokens")))
+    media = F.transform(F.flatten(F.transform("t", lambda x: x["media"])), lambda p, i: F.struct(i.alias("position"), p["type"].alias("type"), p["ref"].alias("ref"), _expanded(p).alias("tokens")))
     return grouped.select("conv_id", F.array_join(F.transform("t", lambda x: x["piece"]), "").alias("formatted"), spans.alias("loss_spans"), media.alias("attachments"))
 
 
@@ -75,11 +92,29 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return formatted.withColumn("turns", F.transform(pieces, turn))
 
 
+def masked(formatted: DataFrame) -> DataFrame:
+    """Add ``loss``: the unescaped texts under ``loss_spans``, in order.
+
+    Each cut walks the text from its start, so spans are cut from parts of about sqrt(n) spans that are cut before.
+    """
+    n = F.size("loss_spans")
+    step = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
+    cut = lambda text, base, s: F.substr(text, s["start"] - base + 1, s["end"] - s["start"])
+
+    def part(first: Column) -> Column:
+        spans = F.slice("loss_spans", first + 1, F.col("_step"))
+        base, end = F.element_at(spans, 1)["start"], F.element_at(spans, -1)["end"]
+        return F.struct(F.substr(F.col("formatted"), base + 1, end - base).alias("text"), base.alias("base"), spans.alias("spans"))
+
+    parts = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1, F.col("_step")), part))
+    texts = F.transform(F.flatten(F.transform(parts, lambda p: F.transform(p["spans"], lambda s: cut(p["text"], p["base"], s)))), unescape)
+    return formatted.withColumn("_step", step).withColumn("loss", F.coalesce(texts, F.array().cast("array<string>"))).drop("_step")
+
+
 def digests(formatted: DataFrame) -> DataFrame:
-    """Counts and digests of what ``read_back`` gives."""
-    rows = read_back(formatted)
+    """Counts and digests of what ``read_back`` and ``masked`` give."""
+    rows = masked(read_back(formatted)).withColumn("loss", F.array_join("loss", ""))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    rows = rows.withColumn("loss", F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == LOSS_ROLE), lambda t: t["text"]), ""))
     return rows.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),

@@ -34,11 +34,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names. Only where that is empty, as in tests, one of this machine."""
+    """The folder that ``spark.checkpoint.dir`` names. Where that is unset, one of this machine, if all runs on this machine."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         where = spark.conf.get("spark.checkpoint.dir", None)
         if where is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             where = tempfile.mkdtemp(prefix="quarryline-checkpoint-")
             atexit.register(shutil.rmtree, where, True)
         sc.setCheckpointDir(where)
@@ -55,12 +57,29 @@ def nullable_text(c: str = "text"):
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
 
+#: A key of more than one in HOT_KEYS of all rows is hot, if it has over HOT_ROWS; so at most HOT_KEYS keys are hot.
+HOT_KEYS, HOT_ROWS = 10_000, 64
+
+
+def spread_join(rows: DataFrame, values: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """rows with the columns of ``values`` (one row per key) for the keys that are in both. No key crowds a task.
+
+    ``n`` is a column of values that counts the key's rows (about), ``total`` counts all rows. Values of hot keys, HOT_KEYS
+    at most, go to every task; the rows of all other keys are shuffled. Both tables are read twice, so they
+    should be checkpoints or cheap. Keys must not be null.
+    """
+    hot = F.col(n) > max(HOT_ROWS, total // HOT_KEYS)
+    crowded = F.broadcast(values.where(hot))
+    even = rows.join(crowded.select(*keys), keys, "left_anti")
+    return rows.join(crowded, keys).unionByName(even.join(values.where(~hot), keys))
+
+
 def components(edges: DataFrame, a: str, b: str, limit: int = 100) -> DataFrame:
     """Connected components of undirected links: (node, root), root the smallest node reachable.
 
-    Alternating large-star and small-star steps: every step is one aggregation and one join over the
-    links, nothing is gathered per node, and a hub's links stay spread over tasks. Nodes without a
-    link don't appear. The loop ends when a round leaves the links as they were.
+    Alternating large-star and small-star steps: every step is one aggregation and one join over the links, nothing is
+    gathered per node, and the links of a hub stay where they are (``spread_join``). Nodes without a link don't appear.
+    The loop ends when a round leaves the links as they were.
     """
     hi, lo = F.greatest(a, b), F.least(a, b)
     links = durable(edges.where(F.col(a) != F.col(b)).select(hi.alias("u"), lo.alias("v")).distinct())
@@ -72,14 +91,11 @@ def components(edges: DataFrame, a: str, b: str, limit: int = 100) -> DataFrame:
                 links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
         seen = now
-        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.where("v > u").join(least, "u").where("v != m")
-            .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
-        large = durable(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        back = links.select(F.col("v").alias("u"), F.col("u").alias("v"))  # v > u here only
+        least = links.union(back).groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        least = least.select("u", F.least("u", "m").alias("m"), "n")
+        large = durable(spread_join(back, least, ["u"], "n", now[0]).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, least, ["u"], "n", now[0]).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = durable(small.union(least.select("u", F.col("m").alias("v"))).distinct())
     raise RuntimeError(f"components did not settle in {limit} rounds")

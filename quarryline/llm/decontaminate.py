@@ -7,19 +7,20 @@ THRESHOLD of the item lacks at most ``floor((1 - THRESHOLD) * n)`` of its n shin
 sketch's size less that number of sketch values: this many hits make a candidate, and none is missed, however long
 the document. Candidates are then verified by exact containment of the shingles as text.
 
-While the items are at most INDEX_ITEMS with INDEX_BYTES of text, their index goes to every task, and documents are
-searched where they are read, without a shuffle. Beyond that bound the documents' shingle hashes are joined with the
-sketches, with the same results.
+Rows of items are numbered, and all search is by that number, so null or repeated item ids are like any other. While
+the items are at most INDEX_ITEMS with INDEX_BYTES of text, their index goes to every task, and documents are searched
+where they are read, without a shuffle. Beyond that bound the documents' shingle hashes are joined with the sketches,
+with the same rows as result; only hashes that a bitmap of the sketches (FILTER_BITS at most) lets pass are shuffled.
 
 Defined results: items and documents of fewer than SHINGLE words match nothing; null texts are empty; rows of equal
-texts or ids each give their own matches; items of equal text all match. Other columns are passed or not read.
+texts or ids each give their own matches, as documents and as items; a null item_id is told as null. Only keys, text
+and item_id are read.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -28,11 +29,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import nullable_text, ship
+from .common import durable, nullable_text, ship, spread_join
 
 SHINGLE, THRESHOLD, SPARE = 5, 0.8, 7
-INDEX_ITEMS, INDEX_BYTES = 50_000, 32_000_000
+INDEX_ITEMS, INDEX_BYTES = 20_000, 8_000_000
+#: Bits of a sketch value that the bitmap looks at, and those of its number of blocks: 32 MB in 256 blocks at most.
+FILTER_BITS, FILTER_BLOCKS = 28, 8
 WORD = re.compile(r"[^\W_]+")
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -78,25 +82,27 @@ def sketch(words: list[str], threshold: float = THRESHOLD) -> tuple[int, int, np
 
 
 class Index:
-    """Sketches of a bounded set of items, and their shingles for verification."""
+    """Sketches of a bounded set of items (number, text) as sorted arrays, and their texts for verification."""
 
     def __init__(self, items: list[tuple[int, str]], threshold: float):
         self.threshold, self.codes, self.items = threshold, {}, []
-        of = defaultdict(list)
-        for item_id, text in items:
+        hashes, owners = [], []
+        for number, text in items:
             words = words_of(text)
             n, hits, sketched = sketch(words, threshold)
             if not n:
                 continue
             self.codes.update((w, _code(w)) for w in words)
-            for h in sketched.tolist():
-                of[h].append(len(self.items))
-            self.items.append((item_id, hits, frozenset(_shingles(words))))
-        self.hashes = np.array(sorted(of), np.uint64)
-        self.owners = [of[h] for h in self.hashes.tolist()]
+            hashes.append(sketched)
+            owners.append(np.full(len(sketched), len(self.items), np.int32))
+            self.items.append((number, hits, n, text))
+        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        order = np.argsort(h, kind="stable")
+        self.hashes, self.first = np.unique(h[order], return_index=True)
+        self.owners, self.first = np.concatenate([np.zeros(0, np.int32), *owners])[order], np.append(self.first, len(h))
 
     def search(self, text: str) -> list[tuple[int, int, int]]:
-        """(item_id, shingles, shingles found) of the items that the text contains."""
+        """(number, shingles, shingles found) of the items that the text contains."""
         words = words_of(text)
         if len(words) < SHINGLE or not len(self.hashes):
             return []
@@ -104,80 +110,123 @@ class Index:
         h = np.unique(h[h != 0])
         at = np.searchsorted(self.hashes, h)
         at[at == len(self.hashes)] = 0
-        hits: dict[int, int] = defaultdict(int)
-        for i in at[self.hashes[at] == h].tolist():
-            for item in self.owners[i]:
-                hits[item] += 1
-        wanted = [i for i, n in hits.items() if n >= self.items[i][1]]
-        if not wanted:
+        met = at[self.hashes[at] == h]
+        if not len(met):
             return []
-        there = set(_shingles(words))
-        found = [(self.items[i][0], len(self.items[i][2]), len(self.items[i][2] & there)) for i in wanted]
-        return [f for f in found if f[2] >= self.threshold * f[1] - 1e-9]
+        hits = np.bincount(np.concatenate([self.owners[self.first[i] : self.first[i + 1]] for i in met]))
+        there, found = None, []
+        for i in np.flatnonzero(hits).tolist():
+            number, least, n, item = self.items[i]
+            if hits[i] >= least:
+                there = there or set(_shingles(words))
+                got = contained(item, there)
+                if got >= self.threshold * n - 1e-9:
+                    found.append((number, n, got))
+        return found
 
 
-def _rows(batch: pa.RecordBatch, found: list[tuple], kept: list[str]) -> pa.RecordBatch:
-    """The columns ``kept`` of the rows that ``found`` names by number, and what it has of them."""
+def contained(item: str, there: set[str]) -> int:
+    """How many of the distinct shingles of an item are there."""
+    return len(there.intersection(_shingles(words_of(item))))
+
+
+def _told(batch: pa.RecordBatch, found: list[tuple], kept: list[str]) -> pa.RecordBatch:
+    """The columns ``kept`` of the rows that ``found`` names by position, and what it has of them."""
     at = pa.array([f[0] for f in found], pa.int64())
     columns = [batch.column(c).take(at) for c in kept] + [pa.array([f[k] for f in found], pa.int64()) for k in (1, 2, 3)]
-    return pa.record_batch(columns, names=[*kept, "item_id", "n_shingles", "n_found"])
+    return pa.record_batch(columns, names=[*kept, "item", "n_shingles", "n_found"])
 
 
 def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, keys: tuple[str, ...] = ("doc_id",), max_items: int = INDEX_ITEMS, max_bytes: int = INDEX_BYTES) -> DataFrame:
-    """keys, item_id, n_shingles, n_found and containment of every pair of a row and an item that it contains."""
+    """keys, item_id, n_shingles, n_found and containment of every pair of a row and an item row that it contains."""
     spark = docs.sparkSession
     ship(spark)
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), nullable_text().alias("text"))
-    rows = docs.select(*keys, nullable_text().alias("text"))
-    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
+    items = durable(items.select(F.col("item_id").cast("long").alias("item_id"), nullable_text().alias("text")).withColumn("item", F.monotonically_increasing_id()))
+    rows = docs.select(F.struct(*(F.col(f"`{k}`") for k in keys)).alias("key"), nullable_text().alias("text"))
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    found = _search(rows, items, threshold, keys, kinds) if n <= max_items and size <= max_bytes else _join(rows, items, threshold, keys, kinds)
-    return found.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
+    few = n <= max_items and size <= max_bytes
+    found = _search(rows, items, threshold) if few else _join(rows, items, threshold)
+    names = items.select("item", "item_id")
+    found = found.join(F.broadcast(names) if few else names, "item")
+    return found.select("key.*", "item_id", "n_shingles", "n_found", (F.col("n_found") / F.col("n_shingles")).alias("containment"))
+
+
+def _kinds(rows: DataFrame) -> T.StructType:
+    longs = [T.StructField(c, T.LongType()) for c in ("item", "n_shingles", "n_found")]
+    return T.StructType([rows.schema["key"], *longs])
 
 
-def _search(rows: DataFrame, items: DataFrame, threshold: float, keys: tuple, kinds: str) -> DataFrame:
-    index = rows.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in items.collect()], threshold))  # bounded by matches()
+def _search(rows: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    index = rows.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in items.select("item", "text").collect()], threshold))  # bounded by matches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
-            yield _rows(batch, [(i, *m) for i in range(len(texts)) for m in index.value.search(texts[i].as_py())], list(keys))
+            yield _told(batch, [(i, *m) for i in range(len(texts)) for m in index.value.search(texts[i].as_py())], ["key"])
 
-    return rows.mapInArrow(run, f"{kinds}, item_id long, n_shingles long, n_found long")
+    return rows.mapInArrow(run, _kinds(rows))
 
 
-def _join(rows: DataFrame, items: DataFrame, threshold: float, keys: tuple, kinds: str) -> DataFrame:
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [(i, hits, int(h)) for i, t in zip(b["item_id"].to_pylist(), b["text"].to_pylist()) for _, hits, s in [sketch(words_of(t), threshold)] for h in s.view(np.int64)]
-            yield pa.record_batch([pa.array([o[k] for o in out], pa.int64()) for k in range(3)], names=["item_id", "hits", "hash"])
+def _distinct_hashes(text: str) -> np.ndarray:
+    return np.unique(_hashes(np.array([_code(w) for w in words_of(text)], np.uint64)))
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _bitmap(sketches: DataFrame, bits: int) -> np.ndarray:
+    """One byte per eight values of the first ``bits`` bits of a hash; of bounded size, made block by block."""
+    blocks, size = 1 << min(FILTER_BLOCKS, bits - 3), 1 << max(0, bits - 3 - FILTER_BLOCKS)
+
+    def block(t: pa.Table) -> pa.Table:
+        flags = np.zeros(size * 8, bool)
+        flags[t["bit"].to_numpy() - t["block"][0].as_py() * size * 8] = True
+        return pa.table({"block": pa.array([t["block"][0].as_py()], pa.int64()), "bits": pa.array([np.packbits(flags).tobytes()], pa.binary())})
+
+    out = np.zeros(blocks * size, np.uint8)
+    bit = F.shiftrightunsigned("hash", 64 - bits)
+    dealt = sketches.select(bit.alias("bit")).distinct().select("bit", F.floor(F.col("bit") / (size * 8)).alias("block"))
+    for at, got in dealt.groupBy("block").applyInArrow(block, "block long, bits binary").toLocalIterator():  # 1 << FILTER_BLOCKS rows, 32 MB in all at most
+        out[at * size : (at + 1) * size] = np.frombuffer(got, np.uint8)
+    return out
+
+
+def _join(rows: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                h = np.unique(_hashes(np.array([_code(w) for w in words_of(b["text"][i].as_py())], np.uint64))).view(np.int64)
-                yield pa.record_batch([b[k].take(pa.array([i] * len(h), pa.int64())) for k in keys] + [b["_row"].take(pa.array([i] * len(h), pa.int64())), pa.array(h)], names=[*keys, "_row", "hash"])
+            got = [sketch(words_of(t), threshold) for t in b["text"].to_pylist()]
+            of = np.repeat(np.arange(len(got)), [len(s) for _, _, s in got])
+            values = np.concatenate([np.zeros(0, np.uint64), *(s for _, _, s in got)]).view(np.int64)
+            yield pa.record_batch([b["item"].take(pa.array(of)), pa.array(np.array([g[1] for g in got], np.int64)[of]), pa.array(values)], names=["item", "hits", "hash"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for i, (doc, item_id, item) in enumerate(zip(b["text"].to_pylist(), b["item_id"].to_pylist(), b["item_text"].to_pylist())):
-                want = set(_shingles(words_of(item)))
-                got = len(want & set(_shingles(words_of(doc))))
-                if got >= threshold * len(want) - 1e-9:
-                    out.append((i, item_id, len(want), got))
-            yield _rows(b, out, list(keys))
-
-    # the same text under the same keys is searched once; its copies come back with the last join
-    row = F.sha2("text", 256).alias("_row")
-    rows = rows.select(*keys, row, "text")
-    sketches = items.mapInArrow(sketched, "item_id long, hits long, hash long")
-    hashes = rows.dropDuplicates([*keys, "_row"]).mapInArrow(hashed, f"{kinds}, _row string, hash long")
-    pairs = hashes.join(sketches, "hash").groupBy(*keys, "_row", "item_id", "hits").agg(F.count("*").alias("n")).where("n >= hits")
-    p, r = pairs.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_row").alias("_r"), "item_id"), rows
-    same = F.col("_row") == F.col("_r")
-    for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    texts = items.select("item_id", F.col("text").alias("item_text"))
-    whole = r.join(p, same).join(texts, "item_id").select(*keys, "text", "item_id", "item_text")
-    return whole.mapInArrow(verified, f"{kinds}, item_id long, n_shingles long, n_found long")
+            for i, (doc, item) in enumerate(zip(b["text"].to_pylist(), b["item_text"].to_pylist())):
+                n = len(set(_shingles(words_of(item))))
+                got = contained(item, set(_shingles(words_of(doc))))
+                if got >= threshold * n - 1e-9:
+                    out.append((i, b["item"][i].as_py(), n, got))
+            yield _told(b, out, ["key"])
+
+    sketches = durable(items.select("item", "text").mapInArrow(sketched, "item long, hits long, hash long"))
+    count = sketches.count()
+    bits = min(FILTER_BITS, max(FILTER_BLOCKS + 3, (8 * count).bit_length()))
+    passing = rows.sparkSession.sparkContext.broadcast(_bitmap(sketches, bits))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for number, text in zip(b["text_id"].to_pylist(), b["text"].to_pylist()):
+                h = _distinct_hashes(text)
+                bit = h >> np.uint64(64 - bits)
+                h = h[passing.value[bit >> np.uint64(3)] >> (np.uint8(7) - (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+                yield pa.record_batch([pa.array(np.full(len(h), number)), pa.array(h.view(np.int64))], names=["text_id", "hash"])
+
+    # equal texts are one here; should two texts share an id, their candidates are verified for both
+    text_id = F.xxhash64("text").alias("text_id")
+    hashes = durable(rows.select(text_id, "text").mapInArrow(hashed, "text_id long, hash long").distinct())
+    often = durable(hashes.groupBy("hash").agg(F.count("*").alias("n")))
+    met = spread_join(hashes, durable(sketches.join(often, "hash")), ["hash"], "n", hashes.count())
+    pairs = durable(met.groupBy("text_id", "item", "hits").agg(F.count("*").alias("k")).where("k >= hits").select("text_id", "item"))
+    texts = pairs.join(items.select("item", F.col("text").alias("item_text")), "item")
+    asked = rows.select("key", "text", text_id)
+    few = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("item_text")), F.lit(0))).first()
+    texts = F.broadcast(texts) if few[0] <= INDEX_ITEMS and few[1] <= INDEX_BYTES else texts
+    return asked.join(texts, "text_id").select("key", "text", "item", "item_text").mapInArrow(verified, _kinds(rows))

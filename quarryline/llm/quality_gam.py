@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import nullable_text, ship
 
@@ -176,13 +177,13 @@ def with_scores(docs: DataFrame, model: dict, text: str = "text", out: tuple[str
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
-                s = score(sent.value, feature_rows(part.column("_text").cast(pa.binary()).to_pylist()))
-                kept = [part.column(c) for c in docs_columns]
-                yield pa.record_batch([*kept, pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=[*docs_columns, *out])
+                s = score(sent.value, feature_rows(part.column("text").cast(pa.binary()).to_pylist()))
+                yield pa.record_batch([part.column("row"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["row", "score", "predicted"])
 
-    docs_columns = docs.columns
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
-    return docs.withColumn("_text", nullable_text(text)).mapInArrow(run, f"{kinds}`{out[0]}` double, `{out[1]}` int")
+    # all columns in one, so that no name of theirs can clash
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in out)).alias("row"), nullable_text(f"`{text}`").alias("text"))
+    kinds = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return rows.mapInArrow(run, kinds).select("row.*", F.col("score").alias(out[0]), F.col("predicted").alias(out[1]))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

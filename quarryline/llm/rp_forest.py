@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, durable, ship
+from .common import components, durable, ship, spread_join
 
 THRESHOLD, TREES, SPILL, LEAF_ROWS, FIT_ROWS, MAX_DEPTH, BLOCK, SEED = 0.93, 8, 0.12, 256, 20_000, 14, 1024, 17
 #: Half the spill zone over the distance of a pair at the threshold; share of a node that may spill; sample vectors that a split needs.
@@ -166,13 +166,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, trees: int
     counts = found.groupBy("id").agg(F.sum("n").alias("links"))
     least = unique.select("rid", "least")
     roots = components(found.select("id", "other"), "id", "other")
-    linked = roots.join(least, roots.node == least.rid).select("rid", "root", "least")
-    linked = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("rid", "component_id")
-    whole = (
+    linked = durable(roots.join(least, roots.node == least.rid).select("rid", "root", "least"))
+    names = durable(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("k")))
+    linked = spread_join(linked, names, ["root"], "k", linked.count()).select("rid", "component_id")
+    # n_links and component of every distinct vector, back to the rows that have it
+    whole = durable(
         unique.select("rid", "label", "embedding", "n", "least").join(counts, unique.rid == counts.id, "left").drop("id").join(linked, "rid", "left")
-        .select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
+        .select("label", "embedding", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     )
-    done = rows.where(valid).join(whole, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    dealt = durable(rows.where(valid))
+    done = spread_join(dealt, whole, ["label", "embedding"], "n", dealt.count()).select("vec_id", "n_links", "component_id")
     alone = rows.where(~valid).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return done.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 

@@ -1,11 +1,13 @@
 """Near duplicates by SimHash: 64-bit fingerprints of word shingles, found by multi-index hashing.
 
 A fingerprint is cut into segments. Two fingerprints within ``RADIUS`` bits have, by the pigeonhole
-principle, one segment that differs in few bits (see ``BALLS``). Every fingerprint is a table row under
+principle, one segment that differs in few bits (see ``BALLS``). Short segments have few rows to ask with and
+crowded buckets, long ones the reverse; ``balls_for`` chooses by the number of fingerprints. Every fingerprint is a table row under
 its own segments, and asks with every value in a small Hamming ball round each of them; what meets under
 one value is compared in full. Rows of one bucket are linked by a spanning forest, so a dense bucket
 costs about its size and gives fewer links than rows; a bucket over ``BLOCK`` rows is cut into blocks
-and every pair of blocks is compared, so no task holds more than two blocks of one bucket.
+and every pair of blocks is compared, so no task holds more than two blocks of one bucket. Documents that share a
+fingerprint get its component by ``spread_join``, so a fingerprint of a third of all rows crowds no task.
 
 Defined results: null text counts as empty; no words gives fingerprint 0, which links like any other;
 rows with equal texts, or repeated ids, share a component; a null doc_id never becomes a component_id
@@ -23,11 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, durable, nullable_text, ship
+from .common import components, durable, nullable_text, ship, spread_join
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: (shift, bits, radius) of each segment: 4 differing bits can't be 2, 2 and 1 or more at once.
 BALLS = ((0, 22, 1), (22, 21, 1), (43, 21, 0))
+#: For more fingerprints than MANY: 4 differing bits can't be 3 and 2 or more at once. A row asks 562 times instead of
+#: 46, so it pays only once comparing with the rows of buckets of 21 bits costs more than that.
+LONG_BALLS, MANY = ((0, 32, 2), (32, 32, 1)), 1 << 33
 BLOCK = 4096
 #: Rows that a task compares at once, and hot values that are few enough to be sent to all tasks.
 ROWS_A_GROUP, BROADCAST_ROWS = 100_000, 10_000
@@ -91,17 +96,24 @@ def ball(value, bits: int, radius: int) -> np.ndarray:
     return value[:, None] ^ np.array(masks, np.int64)[None, :]
 
 
-def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        fps = batch.column("fp").to_numpy()
-        for i in range(0, len(fps), 2000):
-            fp = fps[i : i + 2000]
-            for s, (shift, bits, radius) in enumerate(BALLS):
-                own = (fp.view(np.uint64) >> np.uint64(shift)).astype(np.int64) & ((1 << bits) - 1)
-                keys = ball(own, bits, radius)
-                table = np.zeros(keys.shape, bool)
-                table[:, 0] = True
-                yield pa.record_batch({"key": (keys | s << 32).ravel(), "fp": np.repeat(fp, keys.shape[1]), "own": table.ravel()})
+def balls_for(n: int) -> tuple[tuple[int, int, int], ...]:
+    return BALLS if n <= MANY else LONG_BALLS
+
+
+def _probe(balls: tuple[tuple[int, int, int], ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column("fp").to_numpy()
+            for i in range(0, len(fps), 2000):
+                fp = fps[i : i + 2000]
+                for s, (shift, bits, radius) in enumerate(balls):
+                    own = (fp.view(np.uint64) >> np.uint64(shift)).astype(np.int64) & ((1 << bits) - 1)
+                    keys = ball(own, bits, radius)
+                    table = np.zeros(keys.shape, bool)
+                    table[:, 0] = True
+                    yield pa.record_batch({"key": (keys | s << 32).ravel(), "fp": np.repeat(fp, keys.shape[1]), "own": table.ravel()})
+
+    return run
 
 
 def spanning(fp: np.ndarray) -> list[tuple[int, int]]:
@@ -151,22 +163,25 @@ def _compare(batch: pa.Table) -> pa.Table:
     return pa.table({"a": a, "b": b})
 
 
-def fingerprint_links(distinct: DataFrame, block: int | None = None) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, block: int | None = None, balls: tuple[tuple[int, int, int], ...] | None = None) -> DataFrame:
     """(a, b): links between different fingerprints, as many as their components need. distinct: fp, once each."""
     block = block or BLOCK
     spark = distinct.sparkSession
     ship(spark)
-    rows = distinct.select("fp").mapInArrow(_probe, "key long, fp long, own boolean")
-    total = distinct.count() * sum(ball(np.zeros(1, np.int64), b, r).size for _, b, r in BALLS)
+    n = distinct.count()
+    balls = balls or balls_for(n)
+    rows = distinct.select("fp").mapInArrow(_probe(balls), "key long, fp long, own boolean")
+    total = n * sum(ball(np.zeros(1, np.int64), b, r).size for _, b, r in balls)
     segment = lambda s, shift, bits: F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << bits) - 1)).bitwiseOR(F.lit(s << 32))
-    own = distinct.select(F.explode(F.array(*(segment(s, shift, bits) for s, (shift, bits, _) in enumerate(BALLS)))).alias("key"))
+    own = distinct.select(F.explode(F.array(*(segment(s, shift, bits) for s, (shift, bits, _) in enumerate(balls)))).alias("key"))
     hot = durable(own.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block))
     rows = rows.select("*", F.lit(0).alias("i"), F.lit(0).alias("j"))
     if n_hot := hot.count():
         # blocks of every value that a crowded table value's ball reaches
-        flips = F.transform(F.sequence(F.lit(0), F.lit(22)), lambda k: F.when(k == 0, F.col("key")).otherwise(F.col("key").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k - 1))))
+        masks = ball(np.zeros(1, np.int64), max(b for _, b, _ in balls), max(r for _, _, r in balls)).ravel().tolist()
+        flips = F.transform(F.lit(masks).cast("array<long>"), lambda m: F.col("key").bitwiseXOR(m))
         salted = hot.select(F.explode(flips).alias("key"), "n").groupBy("key").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
-        salted = F.broadcast(salted) if n_hot * 23 <= BROADCAST_ROWS else salted
+        salted = F.broadcast(salted) if n_hot * len(masks) <= BROADCAST_ROWS else salted
         mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
         # a row of block m meets every block once: groups (i, j), i <= j, with m one of the two
         cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, mine).alias("i"), F.greatest(x, mine).alias("j")))
@@ -182,10 +197,12 @@ def fingerprint_links(distinct: DataFrame, block: int | None = None) -> DataFram
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
     rows = durable(fingerprints(docs))
-    distinct = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = components(fingerprint_links(distinct), "a", "b")
-    linked = roots.join(distinct, roots.node == distinct.fp).select("fp", "root", "least")
-    whole = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = linked.join(whole, "root").select("fp", "component_id")
-    of_fp = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # a component is named by its smallest doc_id; few fingerprints have links at all
+    linked = durable(roots.join(distinct, roots.node == distinct.fp).select("fp", "root", "least"))
+    whole = durable(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("k")))
+    linked = spread_join(linked, whole, ["root"], "k", linked.count()).select("fp", "component_id")
+    of_fp = durable(distinct.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")))
+    found = spread_join(rows, of_fp, ["fp"], "n", rows.count())
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -215,7 +215,7 @@ def test_typed_parts(spark):
     ).withColumn("text", F.lit(None).cast("string"))
     r = chat_format.format_chats(df, parts="parts").first()
     assert r.formatted == "<|im_start|>user\nsee <\\p|image|> <|image|> and <|audio|><|document|><|im_end|>\n"
-    assert [tuple(a) for a in r.attachments] == [(0, "image", "a.png", 256), (1, "audio", "b.wav", 90), (2, "document", "c.pdf", 1)]
+    assert [tuple(a) for a in r.attachments] == [(0, "image", "a.png", 256), (1, "audio", "b.wav", 90), (2, "document", "c.pdf", 512)]
 
 
 # 6 and 7
