@@ -3,7 +3,10 @@
 A functor has a name, named parameters, and an implementation per binding pattern: ``b`` for a parameter that is
 given and ``f`` for one that the implementation gives. Implementations are Column functions where Spark has the
 expression, else vectorised UDFs made by the caller. ``range`` says how many results a row may have:
-"." one, "?" at most one (null: none), "*" any number (an array of values or structs), "+" one or more.
+"." one, "?" at most one (null: none), "*" any number (an array of values or structs), "+" one or more, which is checked.
+
+Summaries are functors over groups: they take summarised variables and configuration variables, which are constant in a
+group, and give one value per output.
 """
 
 from __future__ import annotations
@@ -41,11 +44,47 @@ class Functor:
         return self
 
 
+@dataclass(frozen=True)
+class Summary:
+    """An aggregate functor: ``fn`` gets a Column per summarised and then per configuration variable, and gives one per output."""
+
+    name: str
+    summarised: int
+    config: int
+    outputs: int
+    fn: Callable[..., tuple[Column, ...]]
+
+
 class Functors:
-    """A registry of functors by name."""
+    """A registry of functors and summaries by name."""
 
     def __init__(self) -> None:
         self._by_name: dict[str, Functor] = {}
+        self._summaries: dict[str, Summary] = {}
+
+    def summary(self, name: str, fn: Callable[..., tuple[Column, ...]], summarised: int = 1, config: int = 0, outputs: int = 1) -> Functors:
+        if name in self._summaries:
+            raise FunctorError(f"{name} is declared twice")
+        if outputs < 1:
+            raise FunctorError(f"{name}: a summary has an output")
+        self._summaries[name] = Summary(name, summarised, config, outputs, fn)
+        return self
+
+    def summarise(self, df: DataFrame, name: str, over: list[str], out: list[str], group: list[str] = (), config: list[str] = (), apart: list[str] = ()) -> DataFrame:
+        """(group, config, out) of the set of (group, config, over, apart) rows.
+
+        A group that meets several configurations is summarised under each of them. ``apart`` names variables that keep
+        equal values of ``over`` apart. Spark aggregates map-side first.
+        """
+        s = self._summaries.get(name)
+        if s is None:
+            raise FunctorError(f"unknown summary {name}")
+        if (len(over), len(config), len(out)) != (s.summarised, s.config, s.outputs):
+            raise FunctorError(f"{name} takes {s.summarised} variables and {s.config} of configuration and gives {s.outputs}")
+        keys = [*group, *config]
+        rows = df.select(*keys, *over, *apart).distinct()
+        got = s.fn(*(F.col(v) for v in over), *(F.col(c) for c in config))
+        return rows.groupBy(*keys).agg(*(c.alias(o) for c, o in zip(got, out)))
 
     def declare(self, name: str, *params: str, impure: bool = False) -> Functor:
         if impure:
@@ -80,6 +119,8 @@ class Functors:
             return df.where(~keep if negated else keep)
         if negated:
             return df.where(F.size(F.coalesce(result, F.array())) == 0 if range_ == "*" else result.isNull())
+        if range_ == "+":
+            result = F.when(F.size(result) > 0, result).otherwise(F.raise_error(F.lit(f"{name}: no result where one or more are promised")))
         df = df.withColumn("_r", F.explode(result) if range_ in ("*", "+") else result)
         if range_ == "?":
             df = df.where(F.col("_r").isNotNull())
@@ -118,5 +159,8 @@ def builtin() -> Functors:
     f.declare("prepend", "item", "list", "longer").add("bbf", lambda x, xs: F.array_prepend(xs, x))
     f.declare("concat_list", "a", "b", "joined").add("bbf", lambda a, b: F.concat(a, b))
     f.declare("min_max", "a", "b", "low", "high").add("bbff", lambda a, b: F.struct(F.least(a, b).alias("low"), F.greatest(a, b).alias("high")))
+    f.declare("piece", "text", "separator", "part").add("bbf", lambda t, s: F.call_function("split", t, F.concat(F.lit("\\Q"), s, F.lit("\\E"))), "+")
+    f.summary("count", lambda x: (F.count("*"),)).summary("sum", lambda x: (F.sum(x),)).summary("min_max", lambda x: (F.min(x), F.max(x)), outputs=2)
+    f.summary("share_above", lambda x, limit: (F.count_if(x > limit), F.count("*")), config=1, outputs=2)
     f.declare("parse_long", "text", "n").add("bf", lambda t: t.try_cast("long"), "?")
     return f

@@ -5,6 +5,9 @@ times a round: the i-th time its i-th reading gives the last round's new rows an
 (those before the i-th with the new rows, those after it without), so every derivation that uses a new row is made
 and no other. New rows are checkpointed each round, which cuts the lineage and lets a lost executor's part be read
 again; all rows are the union of those checkpoints, gathered anew now and then to keep plans short.
+
+Few new rows (FEW at most, counted) are broadcast, so that a round costs a scan of what is there already and no shuffle
+of it.
 """
 
 from __future__ import annotations
@@ -15,17 +18,20 @@ import tempfile
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
 
 
 class Reader:
-    """How a rule reads relations: ``r(name)``, or ``r.settled(name)`` for what must be complete before it is read.
+    """How a rule reads relations: ``r(name)``, ``r.settled(name)`` for what must be complete before it is read, or
+    ``r.never(name)`` for what is complete and, by promise, will never take a derived row away.
 
-    Negation, aggregation and keyed merges read settled relations; everything else may see a relation grow.
+    Negation, aggregation and keyed merges need settled relations. A program finds such readings by itself (see
+    ``safety``); everything else may see a relation grow.
     """
 
-    def __init__(self, now: Callable[[str], DataFrame], settled: Callable[[str], DataFrame] | None = None):
+    def __init__(self, now: Callable[[str], DataFrame], settled: Callable[[str], DataFrame] | None = None, never: Callable[[str], DataFrame] | None = None):
         self._now, self._settled = now, settled or now
+        self._never = never or self._settled
 
     def __call__(self, name: str) -> DataFrame:
         return self._now(name)
@@ -33,10 +39,14 @@ class Reader:
     def settled(self, name: str) -> DataFrame:
         return self._settled(name)
 
+    def never(self, name: str) -> DataFrame:
+        return self._never(name)
+
 
 Rule = Callable[[Reader], DataFrame]
 
-MAX_ROUNDS, GATHER = 1000, 8
+#: Rounds; parts that make a gathering; rows that may be broadcast; rows from which on scanning beats shuffling.
+MAX_ROUNDS, GATHER, FEW, MANY = 1000, 8, 50_000, 200_000
 
 
 class DivergenceError(RuntimeError):
@@ -44,11 +54,13 @@ class DivergenceError(RuntimeError):
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of this machine only where that is not set."""
+    """The folder of ``spark.checkpoint.dir``. Where that is unset, one of this machine, if all runs on this machine."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         where = spark.conf.get("spark.checkpoint.dir", None)
         if where is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             where = tempfile.mkdtemp(prefix="quarryline-rounds-")
             atexit.register(shutil.rmtree, where, True)
         sc.setCheckpointDir(where)
@@ -61,30 +73,80 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Counted:
+    """Checkpointed rows and their number."""
+
+    def __init__(self, df: DataFrame, n: int | None = None):
+        self.df = durable(df) if n is None else df
+        self.n = self.df.count() if n is None else n
+
+    @classmethod
+    def none(cls, like: DataFrame) -> Counted:
+        """No rows, without a job."""
+        return cls(like.limit(0), 0)
+
+    @property
+    def hinted(self) -> DataFrame:
+        """The rows, to be broadcast if they are few."""
+        return F.broadcast(self.df) if self.n <= FEW else self.df
+
+
+def present(batch: Counted, rows: DataFrame) -> Counted:
+    """The rows that are in batch too."""
+    return Counted(rows.join(batch.hinted, rows.columns, "left_semi"))
+
+
+def absent(candidates: DataFrame, rows: DataFrame, n: int) -> Counted:
+    """The set of candidates that are not among rows, n of them."""
+    if n == 0:
+        return Counted(candidates.distinct())
+    if n > MANY:
+        batch = Counted(candidates.distinct())
+        if batch.n <= FEW:  # what is there is scanned, not shuffled
+            there = present(batch, rows.toDF(*batch.df.columns)) if batch.n else batch
+            return Counted(batch.df.join(there.hinted, batch.df.columns, "left_anti")) if there.n else batch
+        candidates = batch.df
+    return Counted(candidates.distinct().join(rows.toDF(*candidates.columns), candidates.columns, "left_anti"))
+
+
 class _Rounds:
     """What a relation has: new rows of the last round, and rows before them."""
 
-    def __init__(self, start: DataFrame):
-        self.new, self.parts = start, []
+    def __init__(self, base: DataFrame | None, n_base: int, new: Counted):
+        self.base, self.n_base, self.new, self.parts, self.n_parts = base, n_base, new, [], 0
 
     @property
     def old(self) -> DataFrame:
-        if not self.parts:
-            return self.new.limit(0)
-        out = self.parts[0]
-        for p in self.parts[1:]:
-            out = out.union(p)
-        return out
+        found = ([self.base] if self.base is not None else []) + self.parts
+        return _union(found) if found else self.new.df.limit(0)
 
     @property
     def all(self) -> DataFrame:
-        return self.old.union(self.new) if self.parts else self.new
+        return _union([self.old, self.new.df]) if self.parts or self.base is not None else self.new.df
+
+    @property
+    def gained(self) -> DataFrame:
+        """All rows but the base."""
+        return _union([*self.parts, self.new.df])
 
-    def step(self, new: DataFrame) -> None:
-        self.parts.append(self.new)
+    @property
+    def n(self) -> int:
+        return self.n_base + self.n_parts + self.new.n
+
+    def step(self, new: Counted) -> None:
+        if self.new.n:
+            self.parts.append(self.new.df)
+            self.n_parts += self.new.n
         self.new = new
         if len(self.parts) >= GATHER:
-            self.parts = [durable(self.old)]
+            self.parts = [durable(_union(self.parts))]
+
+
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
 
 
 def readings(rule: Rule, read: Callable[[str], DataFrame], names: set[str], settled: Callable[[str], DataFrame]) -> list[str]:
@@ -119,40 +181,47 @@ def deltas(rule: Rule, reads: Sequence[str], new: Mapping[str, DataFrame], whole
 
 
 def merged(parts: Sequence[DataFrame], columns: Sequence[str]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.toDF(*columns).distinct()
-
+    """The union of parts under one relation's columns; rows may repeat."""
+    return _union(parts).toDF(*columns)
 
-def fixpoint(start: Mapping[str, DataFrame], rules: Mapping[str, Sequence[Rule]], read: Callable[[str], DataFrame], max_rounds: int = MAX_ROUNDS, seed: Mapping[str, DataFrame] | None = None) -> dict[str, DataFrame]:
-    """Relations that ``rules`` derive from ``start``, all together.
 
-    start: rows of each relation before any recursive rule. read: other relations. seed: if ``start`` is closed
-    under the rules already, further rows to go on from.
-    """
-    state = {n: _Rounds(durable(d.distinct())) for n, d in start.items()}
-    if seed is not None:
-        for n, s in state.items():
-            s.step(durable(seed[n].toDF(*s.new.columns).distinct().join(s.new, s.new.columns, "left_anti")) if n in seed else s.new.limit(0))
+def rounds(start: Mapping[str, DataFrame], rules: Mapping[str, Sequence[Rule]], read: Callable[[str], DataFrame], max_rounds: int, seed: Mapping[str, DataFrame] | None = None, sizes: Mapping[str, int] | None = None) -> dict[str, _Rounds]:
+    """Semi-naive rounds until no relation gains a row. With ``seed``, start is closed already and has ``sizes`` rows."""
+    if seed is None:
+        state = {n: _Rounds(None, 0, Counted(d.distinct())) for n, d in start.items()}
+    else:
+        state = {n: _Rounds(d, sizes[n], absent(seed[n].toDF(*d.columns) if n in seed else d.limit(0), d, sizes[n])) for n, d in start.items()}
     names = set(state)
     whole = lambda name: state[name].all if name in state else read(name)
     before = lambda name: state[name].old if name in state else read(name)
     plans = [(n, rule, readings(rule, whole, names, read)) for n, rs in rules.items() for rule in rs]
     for _ in range(max_rounds):
-        live = {n: s.new for n, s in state.items() if not s.new.isEmpty()}
+        live = {n: s.new.hinted for n, s in state.items() if s.new.n}
         if not live:
-            return {n: s.all for n, s in state.items()}
+            return state
         new = {}
         for n, s in state.items():
             parts = [d for m, rule, reads in plans if m == n for d in deltas(rule, reads, live, whole, before, read)]
-            columns = s.new.columns
-            new[n] = durable(merged(parts, columns).join(s.all, columns, "left_anti")) if parts else s.new.limit(0)
+            new[n] = absent(merged(parts, s.new.df.columns), s.all, s.n) if parts else None
         for n, s in state.items():
-            s.step(new[n])
+            s.step(new[n] or Counted.none(s.new.df))
     raise DivergenceError(f"no fixpoint of {sorted(names)} after {max_rounds} rounds; does a rule make new values for ever?")
 
 
+def fixpoint(start: Mapping[str, DataFrame], rules: Mapping[str, Sequence[Rule]], read: Callable[[str], DataFrame], max_rounds: int = MAX_ROUNDS) -> dict[str, DataFrame]:
+    """Relations that ``rules`` derive from ``start``, all together.
+
+    start: rows of each relation before any recursive rule. read: other relations. A rule that reads one of the
+    relations under negation or an aggregate, which can't see it grow, is an error.
+    """
+    from .safety import check
+
+    for name, own in rules.items():
+        for rule in own:
+            check(rule, lambda n: start[n] if n in start else read(n), set(start), f"a rule of {name}")
+    return {n: s.all for n, s in rounds(start, rules, read, max_rounds).items()}
+
+
 def closure(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """Transitive closure of a relation of two columns, by doubling: a path of n edges takes about log2(n) rounds."""
     a, b = edges.columns
@@ -161,3 +230,11 @@ def closure(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
         return r("paths").toDF(a, "_via").join(r("paths").toDF("_via", b), "_via").select(a, b)
 
     return fixpoint({"paths": edges}, {"paths": [twice]}, lambda name: edges, max_rounds)["paths"]
+
+
+def reachable(edges: DataFrame, start: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """Pairs of the closure of ``edges`` whose first node is in ``start`` (one column): only these are derived."""
+    a, b = edges.columns
+    first = edges.join(start.toDF(a).distinct(), a, "left_semi")
+    step = lambda r: r("paths").toDF(a, "_via").join(r("edges").toDF("_via", b), "_via").select(a, b)
+    return fixpoint({"paths": first}, {"paths": [step]}, lambda name: edges, max_rounds)["paths"]

@@ -7,6 +7,7 @@ Spark plans, so Catalyst and AQE choose join strategies, push filters and prune
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
@@ -71,6 +72,11 @@ def where(df: DataFrame, left: str | Const, op: str, right: str | Const) -> Data
         raise ValueError(f"unknown comparison {op}")
     if left == right and op != "=":
         raise ValueError(f"{left} {op} {right} never holds")
+    if isinstance(left, Const) and isinstance(right, Const):
+        ordered = {"=": operator.eq, "!=": operator.ne, "<": operator.lt, ">": operator.gt}
+        if not ordered[op](left.value, right.value):
+            raise ValueError(f"{left.value!r} {op} {right.value!r} never holds")
+        return df
     return df.where(tests[op])
 
 
@@ -153,7 +159,18 @@ def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def minus(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.exceptAll(b).distinct() if a.columns != b.columns else a.join(b, a.columns, "left_anti").distinct()
+    """The set of rows of a that are not in b, by position."""
+    return a.subtract(b)
+
+
+def literal(df: DataFrame, flag: bool) -> DataFrame:
+    """A body of ``true`` or ``false`` beside others: all rows, or none."""
+    return df if flag else df.where(F.lit(False))
+
+
+def truth(spark: SparkSession, flag: bool = True) -> DataFrame:
+    """A body of ``true`` or ``false`` alone: one row without variables, or none. ``head`` takes constants from it."""
+    return literal(spark.range(1).select(F.lit(True).alias("_there")), flag)
 
 
 def aggregate(df: DataFrame, group: Iterable[str], over: Iterable[str], **summaries: Column) -> DataFrame:
@@ -170,38 +187,44 @@ def aggregate(df: DataFrame, group: Iterable[str], over: Iterable[str], **summar
 def keyed_merge(proposals: DataFrame, keys: Iterable[str], value: str, merge: str | Callable[[Any, Any], Any], order: str | None = None) -> DataFrame:
     """One value per key, merged from all proposed ones.
 
-    merge names an associative function (min, max, sum, any, all), which is combined map-side; or it is a Python
-    function (old, proposed) of another kind, folded in the order of the column ``order``. The fold keeps one value
-    per key and reads its proposals as Arrow batches of the shuffle's sorted order.
+    merge names an associative function (min, max, sum, any, all, and first and last in the order of the column
+    ``order``, ties by value), which is combined map-side, so a hot key costs no more than others. Or it is a Python
+    function (old, proposed) of another kind, folded in the order of ``order``: one key's fold can't be split, so it is
+    one task's work, but keeps one value and reads its proposals as Arrow batches of the shuffle's sorted order.
     """
     keys = list(keys)
-    named = {"min": F.min, "max": F.max, "sum": F.sum, "any": F.bool_or, "all": F.bool_and}
+    if merge in ("first", "last") or not isinstance(merge, str):
+        if order is None:
+            raise ValueError("a merge that isn't commutative needs an order")
     if isinstance(merge, str):
-        return proposals.groupBy(*keys).agg(named[merge](value).alias(value))
-    if order is None:
-        raise ValueError("a merge that isn't associative needs an order")
+        named = {"min": F.min, "max": F.max, "sum": F.sum, "any": F.bool_or, "all": F.bool_and}
+        ends = {"first": F.min_by, "last": F.max_by}
+        summary = ends[merge](value, F.struct(order, value)) if merge in ends else named[merge](value)
+        return proposals.groupBy(*keys).agg(summary.alias(value))
     schema = proposals.select(*keys, value).schema
 
-    def fold(frames):
-        import pandas as pd
+    def fold(batches):
+        import pyarrow as pa
 
-        last, acc = None, None
-        for frame in frames:
-            out = []
-            for row in frame[[*keys, value]].itertuples(index=False, name=None):
-                if row[:-1] != last:
+        last, acc, kinds = None, None, None
+        for batch in batches:
+            kinds, out = batch.schema, []
+            *key_columns, values = (batch.column(i).to_pylist() for i in range(len(keys) + 1))  # not pandas: nulls and long numbers stay what they are
+            for *key, proposed in zip(*key_columns, values):
+                if key == last:
+                    acc = merge(acc, proposed)
+                else:
                     if last is not None:
                         out.append((*last, acc))
-                    last, acc = row[:-1], row[-1]
-                else:
-                    acc = merge(acc, row[-1])
-            yield pd.DataFrame(out, columns=[*keys, value])
+                    last, acc = key, proposed
+            yield pa.record_batch([pa.array([r[i] for r in out], kinds.field(i).type) for i in range(len(keys) + 1)], names=[*keys, value])
         if last is not None:
-            yield pd.DataFrame([(*last, acc)], columns=[*keys, value])
+            row = (*last, acc)
+            yield pa.record_batch([pa.array([row[i]], kinds.field(i).type) for i in range(len(keys) + 1)], names=[*keys, value])
 
     # sorted within partitions: a key's proposals arrive in order, in batches, never all at once in memory
-    dealt = proposals.select(*keys, value, order).repartition(*keys).sortWithinPartitions(*keys, order)
-    return dealt.mapInPandas(fold, schema)
+    dealt = proposals.select(*keys, value, F.col(order).alias("_order")).repartition(*keys).sortWithinPartitions(*keys, "_order")
+    return dealt.select(*keys, value).mapInArrow(fold, schema)
 
 
 def lookup(df: DataFrame, **bound: Any) -> DataFrame:

@@ -9,7 +9,12 @@ brought up to date stratum by stratum, in the order of their dependencies:
   those with another derivation come back, and their consequences with them;
 * a change under negation, an aggregate or a merge: the stratum is derived anew and compared.
 
-Either way the change of every relation is known, and subscribers of published relations get it.
+Either way the change of every relation is known, and subscribers of published relations get it. Which readings of a
+rule are under negation, an aggregate or a merge is found from its plan (``operators.safety``), so a rule may read them
+by ``r(name)`` or by ``r.settled(name)``.
+
+A batch costs in proportion to itself, but for scans: what is there is read to find what the batch changes, and never
+shuffled or written anew for a small one (see ``Stored``).
 """
 
 from __future__ import annotations
@@ -22,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import relational as R
-from ..operators.fixpoint import MAX_ROUNDS, Reader, Rule, deltas, durable, fixpoint, merged, readings
+from ..operators.fixpoint import FEW, GATHER, MAX_ROUNDS, Counted, Reader, Rule, absent, deltas, durable, merged, present, readings, rounds
+from ..operators.safety import guarded, unsafe_readings
 
 
 class ProgramError(ValueError):
@@ -33,6 +39,10 @@ class StratificationError(ProgramError):
     """A relation depends on its own negation, aggregate or merge."""
 
 
+class PromiseError(ProgramError):
+    """Facts under ``r.never`` took a derived row away."""
+
+
 @dataclass
 class Query:
     """Access to a relation with parameters bound: patterns like "bf" (bound, free) that are allowed."""
@@ -101,6 +111,8 @@ class Stratum:
     reads: set[str]
     settled: set[str]
     recursive: bool
+    promised: set[str]  # of the settled ones, those that are only read by ``never``
+    rules: dict[str, list[Rule]]
 
 
 def strata(program: Program, spark: SparkSession) -> list[Stratum]:
@@ -109,21 +121,29 @@ def strata(program: Program, spark: SparkSession) -> list[Stratum]:
     empty = {n: spark.createDataFrame([], s) for n, s in schemas.items()}
     grows: dict[str, set[str]] = {}
     closed: dict[str, set[str]] = {}
+    never: dict[str, set[str]] = {}
+    safe: dict[str, list[Rule]] = {}
     for name, rules in program.rules.items():
-        grows[name], closed[name] = set(), set()
+        grows[name], closed[name], never[name], safe[name] = set(), set(), set(), []
         if not rules:
             raise ProgramError(f"{name} has no rule")
         for rule in rules:
-            def read(other: str, into: set[str]) -> DataFrame:
+            def read(other: str, into: set[str] | None = None) -> DataFrame:
                 if other not in empty:
                     raise ProgramError(f"a rule of {name} reads {other}, which is not declared")
-                into.add(other)
+                if into is not None:
+                    into.add(other)
                 return empty[other]
 
-            out = rule(Reader(lambda n: read(n, grows[name]), lambda n: read(n, closed[name])))
+            seen, unsafe, out = unsafe_readings(rule, read, lambda n: read(n, never[name]), lambda n: read(n, closed[name]))
             want, got = [f.dataType for f in empty[name].schema], [f.dataType for f in out.schema]
             if want != got:
                 raise ProgramError(f"a rule of {name} gives {[t.simpleString() for t in got]}, declared are {[t.simpleString() for t in want]}")
+            grows[name] |= {n for k, n in enumerate(seen) if k not in unsafe}
+            closed[name] |= {seen[k] for k in unsafe}
+            safe[name].append(guarded(rule, set(unsafe)))
+        never[name] -= closed[name]
+        closed[name] |= never[name]
     needs = {n: grows[n] | closed[n] for n in grows}
 
     def reach(start: str) -> set[str]:
@@ -145,14 +165,72 @@ def strata(program: Program, spark: SparkSession) -> list[Stratum]:
         settled = set().union(*(closed[m] for m in group))
         if inside := settled & set(group):
             raise StratificationError(f"{sorted(inside)} would have to be complete before they are derived")
-        out.append(Stratum(group, set().union(*(needs[m] for m in group)) - set(group), settled, n in below[n]))
+        promised = set().union(*(never[m] for m in group)) - set().union(*(closed[m] - never[m] for m in group))
+        out.append(Stratum(group, set().union(*(needs[m] for m in group)) - set(group), settled, n in below[n], promised, {m: safe[m] for m in group}))
     return out
 
 
 @dataclass
 class Change:
+    """What a batch did to a relation."""
+
     added: DataFrame
     removed: DataFrame
+    n_added: int
+    n_removed: int
+
+
+class Stored:
+    """The rows of a relation: a base, rows added since, and rows of the base that are gone.
+
+    The base is written anew only when what came and went since is an eighth of it, so the cost of writing stays in
+    proportion to the changes. Instances don't change, so the state before a batch can still be read.
+    """
+
+    def __init__(self, base: DataFrame, n: int, plus: tuple[DataFrame, ...] = (), minus: Counted | None = None, since: int = 0):
+        self.base, self.n, self.plus, self.minus, self.since = base, n, plus, minus, since
+
+    @property
+    def rows(self) -> DataFrame:
+        kept = self.base.join(self.minus.hinted, self.base.columns, "left_anti") if self.minus and self.minus.n else self.base
+        return reduce(lambda a, b: a.union(b), self.plus, kept)
+
+    def changed(self, change: Change) -> Stored:
+        """change: rows that were absent, and rows that were present."""
+        plus, minus, columns = self.plus, self.minus, self.base.columns
+        fresh, gone = Counted(change.added, change.n_added), Counted(change.removed, change.n_removed)
+        if gone.n and plus:
+            added = reduce(lambda a, b: a.union(b), plus)
+            of_base = Counted(gone.df.join(added, columns, "left_anti"))
+            plus, gone = ((durable(added.join(gone.hinted, columns, "left_anti")),) if of_base.n < gone.n else plus), of_base
+        if minus and minus.n and fresh.n:  # rows of the base that come back
+            back = Counted(fresh.df.join(minus.df, columns, "left_semi"))
+            if back.n:
+                minus, fresh = Counted(minus.df.join(back.hinted, columns, "left_anti")), Counted(fresh.df.join(back.hinted, columns, "left_anti"))
+        if gone.n:
+            minus = Counted(minus.df.union(gone.df)) if minus and minus.n else gone
+        plus = (*plus, fresh.df) if fresh.n else plus
+        if len(plus) > GATHER:
+            plus = (durable(reduce(lambda a, b: a.union(b), plus)),)
+        n, since = self.n + change.n_added - change.n_removed, self.since + change.n_added + change.n_removed
+        out = Stored(self.base, n, plus, minus, since)
+        return Stored(durable(out.rows), n) if since > max(FEW, n) // 8 else out
+
+
+class _Rows(Mapping):
+    """The rows of every relation, by name."""
+
+    def __init__(self, stored: dict[str, Stored]):
+        self._stored = stored
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self._stored[name].rows
+
+    def __iter__(self):
+        return iter(self._stored)
+
+    def __len__(self) -> int:
+        return len(self._stored)
 
 
 class Database:
@@ -162,7 +240,8 @@ class Database:
         for name, schema in program.published.items():
             if not schema and self._can_shrink(name):
                 raise ProgramError(f"{name} can lose rows, so it must be published as differential")
-        self.rows = {n: spark.createDataFrame([], s) for n, s in {**program.messages, **program.relations}.items()}
+        self._stored = {n: Stored(spark.createDataFrame([], s), 0) for n, s in {**program.messages, **program.relations}.items()}
+        self.rows = _Rows(self._stored)
         self._listeners: dict[str, list[Callable[[DataFrame], None]]] = {}
         self._update({}, derive=True)
 
@@ -178,7 +257,7 @@ class Database:
                 return True
             for s in self.strata:
                 if n in s.names:
-                    if s.settled:
+                    if s.settled - s.promised:
                         return True
                     todo.extend(s.reads)
         return False
@@ -191,19 +270,23 @@ class Database:
 
     def ingest(self, added: Mapping[str, DataFrame] | None = None, removed: Mapping[str, DataFrame] | None = None) -> dict[str, Change]:
         """One batch of facts, additions before removals; the change of every relation."""
-        changes = {}
-        for name in {*(added or {}), *(removed or {})}:
+        names = [*dict.fromkeys([*(added or {}), *(removed or {})])]
+        for name in names:
             if name not in self.program.messages:
                 raise ProgramError(f"{name} is no message")
             if removed and name in removed and name not in self.program.differential:
                 raise ProgramError(f"{name} is not differential, so facts can't be removed")
-            old = self.rows[name]
-            typed = lambda d: R.relation(d.select(*(F.col(c).cast(t).alias(f) for c, (f, t) in zip(d.columns, old.dtypes))))  # noqa: B023, E731
-            new = old.union(typed(added[name])).distinct() if added and name in added else old
-            if removed and name in removed:
-                new = new.join(typed(removed[name]), old.columns, "left_anti")
-            self._replace(name, durable(new), changes)
-        self._update(changes)
+        was, changes = dict(self._stored), {}
+        for name in names:
+            old = self._stored[name]
+            typed = lambda d: R.relation(d.select(*(F.col(f"`{c}`").cast(t).alias(f) for c, (f, t) in zip(d.columns, old.base.dtypes))))  # noqa: B023, E731
+            fresh, drop = typed(added[name]) if added and name in added else None, Counted(typed(removed[name])) if removed and name in removed else None
+            gone = present(drop, old.rows) if drop and drop.n and old.n else Counted.none(old.base)
+            if fresh is not None and drop and drop.n:
+                fresh = fresh.join(drop.hinted, fresh.columns, "left_anti")
+            new = absent(fresh, old.rows, old.n) if fresh is not None else Counted.none(old.base)
+            self._apply(name, new, gone, changes)
+        self._update(changes, was)
         for name, listeners in self._listeners.items():
             if name in changes:
                 c = changes[name]
@@ -214,91 +297,112 @@ class Database:
                     listener(log)
         return changes
 
-    def _replace(self, name: str, new: DataFrame, changes: dict[str, Change]) -> None:
-        old = self.rows[name]
-        added, removed = durable(new.join(old, old.columns, "left_anti")), durable(old.join(new, old.columns, "left_anti"))
-        self.rows[name] = new
-        if not (added.isEmpty() and removed.isEmpty()):
-            changes[name] = Change(added, removed)
+    def _apply(self, name: str, added: Counted, removed: Counted, changes: dict[str, Change]) -> None:
+        """Take a relation's exact change."""
+        if added.n or removed.n:
+            changes[name] = Change(added.df, removed.df, added.n, removed.n)
+            self._stored[name] = self._stored[name].changed(changes[name])
 
     def _read(self, name: str) -> DataFrame:
         return self.rows[name]
 
-    def _update(self, changes: dict[str, Change], derive: bool = False) -> None:
-        was = dict(self.rows)
-        was.update({n: self._before(n, c) for n, c in changes.items()})
+    def _update(self, changes: dict[str, Change], was: Mapping[str, Stored] | None = None, derive: bool = False) -> None:
+        before = _Rows(was or dict(self._stored))
         for s in self.strata:
             touched = s.reads & set(changes)
             if not (touched or derive):
                 continue
             if derive or touched & s.settled:
-                new = self._derive(s)
-            elif any(not changes[n].removed.isEmpty() for n in touched):
-                new = self._delete(s, changes, touched, was)
+                found = {n: self._compared(n, d) for n, d in self._derive(s).items()}
+                broken = not derive and touched & s.settled <= s.promised and not any(changes[n].n_removed for n in touched)
+                if broken and (lost := [n for n, (_, gone) in found.items() if gone.n]):
+                    raise PromiseError(f"{sorted(touched & s.promised)} took rows of {lost} away")
+            elif any(changes[n].n_removed for n in touched):
+                found = self._delete(s, changes, touched, before)
             else:
-                new = self._grow(s, {n: changes[n].added for n in touched}, lambda n: was[n], {n: self.rows[n] for n in s.names})
-            for n, df in new.items():
-                was[n] = self.rows[n]
-                self._replace(n, df, changes)
-
-    def _before(self, name: str, c: Change) -> DataFrame:
-        now = self.rows[name]
-        return now.join(c.added, now.columns, "left_anti").union(c.removed)
-
-    def _derive(self, s: Stratum) -> dict[str, DataFrame]:
+                gained = self._grow(s, {n: self._hinted(changes[n].added, changes[n].n_added) for n in touched}, lambda n: before[n], {n: self.rows[n] for n in s.names}, {n: self._stored[n].n for n in s.names})
+                found = {n: (g, Counted.none(g.df)) for n, g in gained.items()}
+            for n, (added, removed) in found.items():
+                self._apply(n, added, removed, changes)
+
+    @staticmethod
+    def _hinted(df: DataFrame, n: int) -> DataFrame:
+        return Counted(df, n).hinted
+
+    def _compared(self, name: str, new: Counted) -> tuple[Counted, Counted]:
+        """What is new and what is gone, given all rows as they should be."""
+        old = self._stored[name]
+        if not old.n or not new.n:
+            return (new, Counted.none(old.base)) if not old.n else (Counted.none(old.base), Counted(old.rows))
+        columns = old.base.columns
+        return Counted(new.df.join(old.rows, columns, "left_anti")), Counted(old.rows.join(new.df, columns, "left_anti"))
+
+    def _derive(self, s: Stratum) -> dict[str, Counted]:
         """All rows of a stratum from what it reads."""
         start, loops = {}, {}
         for n in s.names:
-            columns = self.rows[n].columns
-            exits = [r for r in self.program.rules[n] if not readings(r, self._read, set(s.names), self._read)]
-            start[n] = merged([r(Reader(self._read)) for r in exits], columns) if exits else self.rows[n].limit(0)
-            loops[n] = [r for r in self.program.rules[n] if r not in exits]
+            columns = self._stored[n].base.columns
+            exits = [r for r in s.rules[n] if not readings(r, self._read, set(s.names), self._read)]
+            start[n] = merged([r(Reader(self._read)) for r in exits], columns) if exits else self._stored[n].base.limit(0)
+            loops[n] = [r for r in s.rules[n] if r not in exits]
         if not s.recursive:
-            return {n: durable(d) for n, d in start.items()}
-        return {n: durable(d) for n, d in fixpoint(start, loops, self._read, self.max_rounds).items()}
+            return {n: Counted(d.distinct()) for n, d in start.items()}
+        return {n: Counted(d.all, d.n) for n, d in rounds(start, loops, self._read, self.max_rounds).items()}
 
-    def _grow(self, s: Stratum, added: Mapping[str, DataFrame], before: Callable[[str], DataFrame], start: Mapping[str, DataFrame], more: Mapping[str, DataFrame] | None = None) -> dict[str, DataFrame]:
-        """Rows of a stratum that is closed but for rows added below it (and rows ``more`` of its own)."""
+    def _grow(self, s: Stratum, added: Mapping[str, DataFrame], before: Callable[[str], DataFrame], start: Mapping[str, DataFrame], sizes: Mapping[str, int], more: Mapping[str, DataFrame] | None = None) -> dict[str, Counted]:
+        """What a stratum gains that is closed but for rows added below it (and rows ``more`` of its own)."""
         whole = lambda n: start[n] if n in start else self.rows[n]
         seed = {}
         for n in s.names:
             parts = [more[n]] if more else []
-            for rule in self.program.rules[n]:
-                reads = readings(rule, whole, set(added), self._read)
-                parts += deltas(rule, reads, added, whole, before, self._read)
+            for rule in s.rules[n]:
+                parts += deltas(rule, readings(rule, whole, set(added), self._read), added, whole, before, self._read)
             if parts:
                 seed[n] = merged(parts, start[n].columns)
         if not s.recursive:
-            return {n: durable(start[n].union(seed[n]).distinct()) if n in seed else start[n] for n in s.names}
-        loops = {n: [r for r in self.program.rules[n] if readings(r, whole, set(s.names), self._read)] for n in s.names}
-        return {n: durable(d) for n, d in fixpoint(start, loops, self._read, self.max_rounds, seed).items()}
+            return {n: absent(d, start[n], sizes[n]) for n, d in seed.items()}
+        loops = {n: [r for r in s.rules[n] if readings(r, whole, set(s.names), self._read)] for n in s.names}
+        return {n: Counted(d.gained, d.n - d.n_base) for n, d in rounds(start, loops, self._read, self.max_rounds, seed, sizes).items()}
 
-    def _delete(self, s: Stratum, changes: Mapping[str, Change], touched: set[str], was: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-        """Over-delete, derive again, then add: the stratum after removals (and additions) below it."""
+    def _delete(self, s: Stratum, changes: Mapping[str, Change], touched: set[str], was: Mapping[str, DataFrame]) -> dict[str, tuple[Counted, Counted]]:
+        """Over-delete, derive again, then add: what a stratum gains and loses by removals (and additions) below it."""
         old = {n: self.rows[n] for n in s.names}
-        gone_below = {n: changes[n].removed for n in touched}
         before = lambda n: was[n]
-        gone = {n: old[n].limit(0) for n in s.names}
-        fresh, rounds = gone_below, 0
+        none = {n: Counted.none(self._stored[n].base) for n in s.names}
+        gone = dict(none)
+        fresh, count = {n: self._hinted(changes[n].removed, changes[n].n_removed) for n in touched if changes[n].n_removed}, 0
         while fresh:  # rows with a derivation from a removed row, in the state before
-            rounds += 1
-            if rounds > self.max_rounds:
+            count += 1
+            if count > self.max_rounds:
                 raise ProgramError("over-deletion doesn't settle")
             found = {}
             for n in s.names:
-                parts = [d for rule in self.program.rules[n] for d in deltas(rule, readings(rule, before, set(fresh), before), fresh, before, before, before)]
+                parts = [d for rule in s.rules[n] for d in deltas(rule, readings(rule, before, set(fresh), before), fresh, before, before, before)]
                 if parts:
-                    new = durable(merged(parts, old[n].columns).join(old[n], old[n].columns, "left_semi").join(gone[n], old[n].columns, "left_anti"))
-                    if not new.isEmpty():
-                        found[n] = new
-                        gone[n] = gone[n].union(new)
+                    new = merged(parts, old[n].columns).distinct()
+                    new = new.join(gone[n].hinted, old[n].columns, "left_anti") if gone[n].n else new
+                    new = Counted(old[n].join(new, old[n].columns, "left_semi"))
+                    if new.n:
+                        found[n] = new.hinted
+                        gone[n] = Counted(gone[n].df.union(new.df)) if gone[n].n else new
             fresh = found
-        left = {n: durable(old[n].join(gone[n], old[n].columns, "left_anti")) for n in s.names}
+        left = {n: old[n].join(gone[n].hinted, old[n].columns, "left_anti") if gone[n].n else old[n] for n in s.names}
+        sizes = {n: self._stored[n].n - gone[n].n for n in s.names}
         # what is gone may have a derivation from what is left
         now = Reader(lambda n: left[n] if n in left else self.rows[n])
-        again = {n: merged([rule(now) for rule in self.program.rules[n]], left[n].columns).join(gone[n], left[n].columns, "left_semi") for n in s.names}
-        added = {n: changes[n].added for n in touched}
-        return self._grow(s, added, lambda n: was[n].join(changes[n].removed, was[n].columns, "left_anti") if n in changes else was[n], left, again)
+        again = {n: merged([rule(now) for rule in s.rules[n]], old[n].columns).join(gone[n].hinted, old[n].columns, "left_semi") if gone[n].n else none[n].df for n in s.names}
+        added = {n: self._hinted(changes[n].added, changes[n].n_added) for n in touched if changes[n].n_added}
+
+        def between(n: str) -> DataFrame:  # without what is removed and without what is added
+            return was[n].join(changes[n].removed, was[n].columns, "left_anti") if n in changes and changes[n].n_removed else was[n]
+
+        gained = self._grow(s, added, between, left, sizes, again)
+        out = {}
+        for n in s.names:
+            g = gained.get(n, none[n])
+            both = gone[n].n and g.n
+            out[n] = (Counted(g.df.join(gone[n].hinted, old[n].columns, "left_anti")), Counted(gone[n].df.join(g.hinted, old[n].columns, "left_anti"))) if both else (g, gone[n])
+        return out
 
     def query(self, name: str, *args) -> DataFrame:
         """Rows of a query with all columns; args are values, or None for free parameters."""
@@ -314,9 +418,18 @@ class Database:
         out = R.lookup(df, **bound)
         return R.first(out) if q.first else out
 
+    def each(self, name: str, *args, until: Callable[[tuple], bool]) -> int:
+        """Give a query's rows to ``until`` one by one, partition by partition, until it says so; how many it got."""
+        n = 0
+        for row in self.query(name, *args).toLocalIterator():
+            n += 1
+            if until(tuple(row)):
+                break
+        return n
+
     def holds(self, name: str) -> bool:
         """Whether a relation has any row: the value of a condition."""
-        return not self.rows[name].isEmpty()
+        return self._stored[name].n > 0
 
     def explain(self, name: str) -> str:
         """The physical plan of one relation's rules over the rows as they are."""

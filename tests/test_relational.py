@@ -57,6 +57,26 @@ def test_compare_and_unsatisfiable(spark):
             R.where(df, "x", op, "x")
 
 
+def test_constants_and_literals(spark):
+    df = atom(edges(spark, {(1, 2)}), "x", "y")
+    assert rows(R.where(df, Const(1), "<", Const(2))) == {(1, 2)}
+    with pytest.raises(ValueError):
+        R.where(df, Const("a"), "=", Const("b"))
+    assert rows(R.literal(df, True)) == {(1, 2)} and rows(R.literal(df, False)) == set()
+    assert rows(head(R.truth(spark), Const(7))) == {(7,)} and rows(head(R.truth(spark, False), Const(7))) == set()
+
+
+def test_existence(spark):
+    df = edges(spark, {(1, 2), (3, 4)})
+    assert R.exists(df, a=1, b=2) and not R.exists(df, a=1, b=4) and R.exists(df)
+
+
+def test_difference_of_other_names(spark):
+    a = spark.createDataFrame([(1,), (1,), (2,)], "x long")
+    for b in ("x", "y"):
+        assert [tuple(r) for r in R.minus(a, spark.createDataFrame([(1,)], f"{b} long")).collect()] == [(2,)]
+
+
 def test_negation_needs_bound_variables(spark):
     df = atom(edges(spark, {(1, 2), (3, 4)}), "x", "y")
     assert rows(R.negate(df, atom(edges(spark, {(3, 9)}), "x", ANY))) == {(1, 2)}
@@ -87,6 +107,39 @@ def test_ordered_merge_over_batches(spark):
     assert got == {k: "".join(str(i) for i in range(20) if i % 2 == k) for k in (0, 1)}
 
 
+def test_merges_of_odd_values(spark):
+    """Null keys, numbers beyond 2 ** 53, and the ends of an order with ties."""
+    big = (1 << 60) + 1
+    df = spark.createDataFrame([(None, big, 1), (None, 3, 2), (5, big, 1), (5, big + 1, 1)], "k long, v long, t long")
+    got = {tuple(r) for r in R.keyed_merge(df, ["k"], "v", lambda old, new: max(old, new), order="t").collect()}
+    assert got == {(None, big), (5, big + 1)}
+    for merge, want in (("last", {(None, 3), (5, big + 1)}), ("first", {(None, big), (5, big)})):
+        assert rows(R.keyed_merge(df, ["k"], "v", merge, order="t")) == want
+    with pytest.raises(ValueError):
+        R.keyed_merge(df, ["k"], "v", "last")
+
+
+def test_summaries(spark):
+    f = builtin()
+    df = spark.createDataFrame([("a", 1, 5, 4), ("a", 2, 5, 4), ("a", 3, 9, 4), ("b", 1, 1, 4), ("b", 1, 1, 0)], "g string, k long, x long, c long")
+    assert rows(f.summarise(df, "min_max", ["x"], ["lo", "hi"], group=["g"])) == {("a", 5, 9), ("b", 1, 1)}
+    assert rows(f.summarise(df, "sum", ["x"], ["s"], group=["g"])) == {("a", 14), ("b", 1)}
+    assert rows(f.summarise(df, "sum", ["x"], ["s"], group=["g"], apart=["k"])) == {("a", 19), ("b", 1)}
+    assert rows(f.summarise(df, "share_above", ["x"], ["n", "of"], group=["g"], config=["c"], apart=["k"])) == {("a", 4, 3, 3), ("b", 4, 0, 1), ("b", 0, 1, 1)}
+    with pytest.raises(FunctorError):
+        f.summarise(df, "sum", ["x", "k"], ["s"])
+    with pytest.raises(FunctorError):
+        f.summary("sum", lambda x: (x,))
+
+
+def test_one_or_more_is_checked(spark):
+    f, df = Functors(), spark.createDataFrame([([1, 2],), ([],)], "l array<long>")
+    f.declare("items", "list", "item").add("bf", lambda x: x, "+")
+    assert rows(f.apply(df.where("size(l) > 0"), "items", "l", "i").select("i")) == {(1,), (2,)}
+    with pytest.raises(Exception, match="one or more"):
+        f.apply(df, "items", "l", "i").collect()
+
+
 def brute_closure(pairs):
     out = set(pairs)
     while more := {(a, d) for a, b in out for c, d in out if b == c} - out:
