@@ -277,8 +277,8 @@ def _trade(spark, d) -> DataFrame:
     return head(_suppliers(spark, d).where("rank <= 3"), "a", "b")
 
 
-SUPPLIERS_SQL = """ranked AS (SELECT c_nationkey AS a, s_nationkey AS b, row_number() OVER (PARTITION BY c_nationkey ORDER BY count(*) DESC, s_nationkey) AS rank
-    FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)"""
+SUPPLIERS_SQL = """ranked AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS rank FROM (SELECT c_nationkey AS a, s_nationkey AS b, count(*) AS n
+    FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY c_nationkey, s_nationkey))"""
 TRADE_SQL = f"{SUPPLIERS_SQL}, e AS (SELECT a, b FROM ranked WHERE rank <= 3)"
 
 
@@ -382,11 +382,11 @@ def recursion_negation(spark, d):
 def brand_flow_program() -> Program:
     """Which brands a nation may carry: a nation stocks brands, hands them on, and puts them in and takes them out of depots.
 
-    flows, carries and shares derive each other: a depot is a nation and a ship mode, and what one nation puts into
-    another's depot flows to those that take from the same mode of any nation that shares a brand with it.
+    flows, carries and shares derive each other: a depot is a nation and a line number, and what one nation puts into
+    another's depot flows to those that take from the same line of any nation that shares a brand with it.
     """
     p = Program().message("stocks", "nation long, brand string").message("hands_on", "giver long, taker long")
-    p.message("puts", "giver long, keeper long, mode string").message("takes", "keeper long, taker long, mode string")
+    p.message("puts", "giver long, keeper long, mode long").message("takes", "keeper long, taker long, mode long")
     p.relation("flows", "giver long, taker long", lambda r: r("hands_on"), lambda r: head(join(atom(r("puts"), "g", "k", "m"), atom(r("shares"), "k", "l"), atom(r("takes"), "l", "t", "m")), "g", "t"))
     p.relation("carries", "nation long, brand string", lambda r: r("stocks"), lambda r: head(join(atom(r("flows"), "g", "n"), atom(r("carries"), "g", "b")), "n", "b"))
     p.relation("shares", "a long, b long", lambda r: head(join(atom(r("carries"), "a", "x"), atom(r("carries"), "b", "x")), "a", "b"))
@@ -395,12 +395,12 @@ def brand_flow_program() -> Program:
 
 #: Rounds of the unrolled recursion; the relation is complete long before.
 _UNROLLED = 8
-BRAND_FLOW_SQL = """WITH l AS (SELECT c_nationkey AS c, s_nationkey AS s, l_shipmode AS m, p_brand AS b FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+BRAND_FLOW_SQL = """WITH l AS (SELECT c_nationkey AS c, s_nationkey AS s, l_linenumber AS m, p_brand AS b FROM lineitem JOIN orders ON o_orderkey = l_orderkey
     JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey),
-    stocks AS (SELECT s AS n, b FROM l GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY s ORDER BY count(*) DESC, b) = 1),
-    hands AS (SELECT s AS g, c AS t FROM l GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY s ORDER BY count(*) DESC, c) = 1),
-    puts AS (SELECT s AS g, c AS k, m FROM l GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY s, m ORDER BY count(*) DESC, c) = 1),
-    takes AS (SELECT s AS k, c AS t, m FROM l GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY c, m ORDER BY count(*) DESC, s) = 1),
+    stocks AS (SELECT s AS n, b FROM (SELECT s, b, count(*) AS k FROM l GROUP BY s, b) QUALIFY row_number() OVER (PARTITION BY s ORDER BY k DESC, b) = 1),
+    hands AS (SELECT s AS g, c AS t FROM (SELECT s, c, count(*) AS k FROM l GROUP BY s, c) QUALIFY row_number() OVER (PARTITION BY s ORDER BY k DESC, c) = 1),
+    puts AS (SELECT s AS g, c AS k, m FROM (SELECT s, c, m, count(*) AS n FROM l GROUP BY s, c, m) QUALIFY row_number() OVER (PARTITION BY s, m ORDER BY n DESC, c) = 1),
+    takes AS (SELECT s AS k, c AS t, m FROM (SELECT s, c, m, count(*) AS n FROM l GROUP BY s, c, m) QUALIFY row_number() OVER (PARTITION BY c, m ORDER BY n DESC, s) = 1),
     f0 AS (SELECT g, t FROM hands), c0 AS (SELECT n, b FROM stocks)""" + "".join(f""",
     c{i + 1} AS MATERIALIZED (WITH RECURSIVE x AS (SELECT n, b FROM c{i} UNION SELECT t, b FROM x JOIN f{i} ON g = n) SELECT n, b FROM x),
     h{i + 1} AS MATERIALIZED (SELECT DISTINCT x.n AS a, y.n AS b FROM c{i + 1} x JOIN c{i + 1} y ON x.b = y.b),
@@ -412,7 +412,7 @@ BRAND_FLOW_SQL = """WITH l AS (SELECT c_nationkey AS c, s_nationkey AS s, l_ship
 def points_to(spark, d):
     """Mutual, non-linear recursion over facts of all lines: each nation's commonest brand, taker, and depots."""
     l = join(
-        atom(table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_shipmode"), "o", "p", "k", "mode"), atom(table(spark, d, "orders", "o_orderkey", "o_custkey"), "o", "u"),
+        atom(table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"), "o", "p", "k", "mode"), atom(table(spark, d, "orders", "o_orderkey", "o_custkey"), "o", "u"),
         atom(table(spark, d, "customer", "c_custkey", "c_nationkey"), "u", "taker"), atom(table(spark, d, "supplier", "s_suppkey", "s_nationkey"), "k", "giver"), atom(table(spark, d, "part", "p_partkey", "p_brand"), "p", "brand"),
     ).groupBy("giver", "taker", "mode", "brand").agg(F.count("*").alias("lines"))
 

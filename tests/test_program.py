@@ -153,7 +153,7 @@ def test_brands_flow(spark):
     rng, n = random.Random(9), range(7)
     facts = {
         "stocks": {(k, f"b{rng.randrange(4)}") for k in rng.sample(n, 4)}, "hands_on": {(rng.randrange(7), rng.randrange(7)) for _ in range(3)},
-        "puts": {(rng.randrange(7), rng.randrange(7), m) for m in "xyz"}, "takes": {(rng.randrange(7), rng.randrange(7), m) for m in "xyzx"},
+        "puts": {(rng.randrange(7), rng.randrange(7), m) for m in (1, 2, 3)}, "takes": {(rng.randrange(7), rng.randrange(7), m) for m in (1, 2, 3, 1)},
     }
     p = brand_flow_program()
     db = Database(spark, p)
