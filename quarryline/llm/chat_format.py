@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spans import cut
+
 START, END = "<|im_start|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
 PART = "struct<type:string,text:string,ref:string,tokens:long>"
@@ -93,22 +95,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def masked(formatted: DataFrame) -> DataFrame:
-    """Add ``loss``: the unescaped texts under ``loss_spans``, in order.
-
-    Each cut walks the text from its start, so spans are cut from parts of about sqrt(n) spans that are cut before.
-    """
-    n = F.size("loss_spans")
-    step = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
-    cut = lambda text, base, s: F.substr(text, s["start"] - base + 1, s["end"] - s["start"])
-
-    def part(first: Column) -> Column:
-        spans = F.slice("loss_spans", first + 1, F.col("_step"))
-        base, end = F.element_at(spans, 1)["start"], F.element_at(spans, -1)["end"]
-        return F.struct(F.substr(F.col("formatted"), base + 1, end - base).alias("text"), base.alias("base"), spans.alias("spans"))
-
-    parts = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1, F.col("_step")), part))
-    texts = F.transform(F.flatten(F.transform(parts, lambda p: F.transform(p["spans"], lambda s: cut(p["text"], p["base"], s)))), unescape)
-    return formatted.withColumn("_step", step).withColumn("loss", F.coalesce(texts, F.array().cast("array<string>"))).drop("_step")
+    """Add ``loss``: the unescaped texts under ``loss_spans``, in order."""
+    return formatted.withColumn("loss", F.transform(cut(F.col("formatted"), F.col("loss_spans")), unescape))
 
 
 def digests(formatted: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import nullable_text
-from .spans import listed, with_spans
+from .spans import apart, cut, listed, with_spans
 
 KINDS = ("email", "ip", "card", "phone", "iban", "number")
 BASE_KINDS = KINDS[:4]
@@ -120,15 +120,15 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """The same rows with every span's text replaced by its kind in brackets; of overlapping spans the first counts."""
     found = annotate(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), F.col(f"`{text}`").alias("text")))
-    source = F.col("text")
-
-    def step(acc: Column, s: Column) -> Column:
-        put = F.concat(acc["text"], F.substr(source, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        free = s["start"] >= acc["at"]
-        return F.struct(F.when(free, s["end"]).otherwise(acc["at"]).alias("at"), F.when(free, put).otherwise(acc["text"]).alias("text"))
-
+    source = F.coalesce("text", F.lit(""))
     ordered = F.array_sort(F.transform("pii", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
-    done = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["text"], F.substr(source, acc["at"] + 1, F.length(source))))
-    clean = F.when(F.size("pii") > 0, done).otherwise(source)
+    found = found.withColumn("taken", apart(ordered))
+    taken = F.col("taken")
+    gaps = F.zip_with(
+        F.concat(F.array(F.lit(0)), F.transform(taken, lambda s: s["end"])), F.concat(F.transform(taken, lambda s: s["start"]), F.array(F.length(source))),
+        lambda a, b: F.struct(a.alias("start"), b.alias("end")),
+    )
+    found = found.withColumn("gaps", F.when(F.size(taken) > 0, gaps))
+    marks = F.concat(F.transform(taken, lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))), F.array(F.lit("")))
+    clean = F.when(F.size(taken) > 0, F.array_join(F.zip_with(cut(source, F.col("gaps")), marks, lambda t, m: F.concat(t, m)), "")).otherwise(F.col("text"))
     return found.select(*(clean.alias(c) if c == text else F.col("whole").getField(c).alias(c) for c in docs.columns))

@@ -56,3 +56,39 @@ def with_spans(df: DataFrame, patterns: dict[str, tuple[str, Column | None]], te
 def listed(spans: Column) -> Column:
     """kind:start:end of spans (with a kind field), comma-joined in their order."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def cut(text: Column, spans: Column) -> Column:
+    """Array of the parts of a text under spans (start, end), which ascend and don't overlap.
+
+    Each cut walks the text from its start, so spans are cut from parts of about sqrt(n) spans that are cut before.
+    """
+    n = F.size(spans)
+    step = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
+
+    def part(first: Column) -> Column:
+        own = F.slice(spans, first + 1, step)
+        base, end = F.element_at(own, 1)["start"], F.element_at(own, -1)["end"]
+        return F.struct(F.substr(text, base + 1, end - base).alias("text"), base.alias("base"), own.alias("spans"))
+
+    one = lambda p: lambda s: F.substr(p["text"], s["start"] - p["base"] + 1, s["end"] - s["start"])
+    parts = F.transform(F.sequence(F.lit(0), n - 1, step), part)
+    return F.when(n > 0, F.flatten(F.transform(parts, lambda p: F.transform(p["spans"], one(p))))).otherwise(F.array().cast("array<string>"))
+
+
+def apart(spans: Column) -> Column:
+    """Of spans (start, end, kind) in order, those that don't overlap one that is taken before."""
+    kinds = "struct<start:int,end:int,kind:string>"
+    none = F.array().cast(f"array<{kinds}>")
+
+    def one(acc: Column, s: Column) -> Column:
+        free = s["start"] >= acc["at"]
+        more = F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))).cast(f"array<{kinds}>")
+        return F.struct(F.when(free, s["end"]).otherwise(acc["at"]).alias("at"), F.when(free, F.concat(acc["got"], more)).otherwise(acc["got"]).alias("got"))
+
+    def block(acc: Column, first: Column) -> Column:
+        inner = F.aggregate(F.slice(spans, first, F.lit(BLOCK)), F.struct(acc["at"].alias("at"), none.alias("got")), one)
+        return F.struct(inner["at"].alias("at"), F.concat(acc["all"], F.array(inner["got"])).alias("all"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kinds}>>").alias("all"))
+    return F.when(F.size(spans) > 0, F.aggregate(F.sequence(F.lit(1), F.size(spans), F.lit(BLOCK)), start, block, lambda acc: F.flatten(acc["all"]))).otherwise(none)

@@ -142,7 +142,7 @@ def test_a_dense_bucket_gives_few_links():
 # 3
 
 
-def test_base_scores_and_held_out_gain(docs, texts):
+def test_base_scores(docs, texts):
     for limit in (200_000, 300):
         got = lm_mixing.score(docs, limit).collect()
         held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
@@ -152,21 +152,6 @@ def test_base_scores_and_held_out_gain(docs, texts):
         want = [(i, held(i), len(ws), sum(counts[w] > 0 for w in ws), n, round(float(sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in ws)), 4)) for i, ws in tokens]
         same([(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got], want)
     assert all(r.score < 0 for r in got)
-    kept = [r for r in got if r.held_out and r.n_tokens > 20 and r.doc_id < 900000]
-    bits = -sum(r.score for r in kept) / np.log10(2) / sum(r.n_bytes for r in kept)
-    assert bits < 3.2  # order 0 needs over four
-
-
-def test_coding_is_a_distribution_and_ignores_neighbours():
-    """All continuations of a byte have probabilities that sum to one, and a text costs the same in any company."""
-    rng = np.random.default_rng(0)
-    table = rng.integers(-60, 60, lm_mixing.BASES[-1]).astype(np.int8)
-    streams = [b"abc" + bytes([b]) for b in range(256)]
-    cost = lm_mixing.code(streams, table)
-    assert abs(np.exp(-(cost - lm_mixing.code([b"abc"], table)[0])).sum() - 1) < 1e-3
-    mixed = [b"some words\n", b"\n", b"x" * 5000 + b"\n"]
-    alone = [lm_mixing.code([s], table)[0] for s in mixed]
-    assert np.allclose(lm_mixing.code(mixed, table), alone, rtol=1e-5)
 
 
 # 4
@@ -289,12 +274,12 @@ def test_random_strings_from_identifiers(spark):
 def brute_containment(docs, items):
     shingles = lambda t: {tuple(w[i : i + 5]) for w in [re.findall(r"[^\W_]+", (t or "").lower())] for i in range(len(w) - 4)}
     known = [(i, shingles(t)) for i, t in docs]
-    return {(d, i, len(s), len(s & there)) for i, t in items for s in [shingles(t)] if s for d, there in known if len(s & there) >= 0.8 * len(s) - 1e-9}
+    return [(d, i, len(s), len(s & there)) for i, t in items for s in [shingles(t)] if s for d, there in known if len(s & there) >= 0.8 * len(s) - 1e-9]
 
 
 def test_containment_both_ways(spark, docs, texts, small):
     items = spark.read.parquet(f"{small}/benchmark.parquet")
-    more = spark.createDataFrame([(7000, "too short"), (7001, None), (7002, "The x of it"), (7003, "a b c d e"), (7003, "a b c d e")], "item_id long, text string")
+    more = spark.createDataFrame([(7000, "too short"), (7001, None), (7002, "The x of it"), (7003, "a b c d e"), (7003, "a b c d e"), (None, "tail tail tail tail tail"), (7004, "quite another text of seven words here"), (7004, "and a second one under this id")], "item_id long, text string")
     rng = random.Random(2)
     words = [[f"w{rng.randrange(3000)}" for _ in range(rng.randint(6, 90))] for _ in range(80)]
     planted = []
@@ -302,12 +287,14 @@ def test_containment_both_ways(spark, docs, texts, small):
         cut = w[: max(5, int(len(w) * rng.uniform(0.6, 1)))]
         planted.append((8000 + k, " ".join([f"z{rng.randrange(99)}" for _ in range(rng.randint(0, 4000))] + cut + ["tail"] * 5)))
     items = items.unionByName(more).unionByName(spark.createDataFrame([(7100 + k, " ".join(w)) for k, w in enumerate(words)], "item_id long, text string"))
+    planted[-1] = (planted[-1][0], "quite another text of seven words here and a second one under this id")
+    planted[-2] = planted[-1]
     whole = docs.select("doc_id", "text", "score").union(spark.createDataFrame(planted, "doc_id long, text string").withColumn("score", F.lit("x")))
-    want = brute_containment(texts + planted, [tuple(r) for r in items.select("item_id", "text").collect()])
-    assert len(want) > 20
-    for limit in (50_000, 0):
+    assert len(planted) == 80
+    want = Counter(brute_containment(texts + planted, [tuple(r) for r in items.select("item_id", "text").collect()]))
+    for limit in (20_000, 0):
         got = [(r.doc_id, r.item_id, r.n_shingles, r.n_found) for r in decontaminate.matches(whole, items, max_items=limit).collect()]
-        assert set(got) == want
+        assert Counter(got) == want
 
 
 # 9

@@ -2,12 +2,13 @@
 
 import re
 
-import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarryline.llm import packing, pii, quality_gam, simhash
+from quarryline.llm import packing, pii, quality_gam, secret_scan
 
+from .test_near_copies import shingles, similarity
 from .test_operators import brute_containment, least_reachable
 
 
@@ -24,8 +25,8 @@ def test_stages(spark, small):
 
     single = run("near_duplicates", good)
     ids = sorted(r.doc_id for r in good.collect())
-    fps = simhash.fingerprints_of([rows[i].text.encode() for i in ids])
-    roots = least_reachable(ids, lambda k: np.flatnonzero(np.bitwise_count(fps ^ fps[k]) <= 4))
+    sets = [shingles(rows[i].text) for i in ids]  # a stage takes five words and 0.8, not op2's contract
+    roots = least_reachable(ids, lambda k: [j for j in range(len(ids)) if similarity(sets[j], sets[k]) >= 0.8])
     assert single.columns == columns and {r.doc_id for r in single.collect()} == {ids[k] for k in set(roots)}
 
     clean = run("benchmark_passages", single)
@@ -51,3 +52,26 @@ def test_odd_rows(spark, small):
         assert stage(spark, df, small).columns == df.columns and stage(spark, df.limit(0), small).count() == 0
     kept = sorted(((r.doc_id or 0, r.text or "") for r in corpus_pipeline.near_duplicates(spark, df, small).collect()))
     assert kept == sorted([(0, "another text without any id at all"), (0, rows[0][1]), (7, "q w e r t y"), (7, "x y z"), (8, "")])
+
+
+CLASHING = "_text _own _hash _quality _pii _drop_doc_id _id score predicted fp rid row key keys hash node item pii secrets number random n text_id".split()
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES[:-1]])
+def test_columns_of_any_name_pass_through(spark, small, name):
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("doc_id < 60")
+    odd = docs.select("*", *(F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHING))
+    stage = dict(corpus_pipeline.STAGES)[name]
+    got, want = stage(spark, odd, small), stage(spark, docs, small)
+    assert got.columns == odd.columns
+    assert sorted(got.select(docs.columns).collect()) == sorted(want.collect())
+    assert all(r[c] == f"{c}{r.doc_id}" for r in got.collect() for c in CLASHING)
+
+
+def test_annotators_keep_columns(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("doc_id < 20")
+    odd = docs.select("*", *(F.lit(c).alias(c) for c in CLASHING))
+    for run, out in ((pii.annotate, "pii"), (secret_scan.annotate, "secrets"), (lambda d: pii.redact(d), None)):
+        got = run(odd)
+        assert [c for c in odd.columns if c != out] == [c for c in got.columns if c != out]
+        assert all(r[c] == c for r in got.collect() for c in CLASHING if c != out)
