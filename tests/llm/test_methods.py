@@ -23,26 +23,28 @@ def toy_model(seed=0, words=40):
     return lm_mixing.Model(coder, cells, 18, weights, rng.standard_normal(lm_mixing.GATES) * 0.1)
 
 
-def plain_code(words, ids, model):
+def plain_code(words, model):
     """Bit by bit, with one weight vector per gate, from the description alone."""
-    m, c = lm_mixing, model.coder
+    m, c, words = lm_mixing, model.coder, [*words, lm_mixing.END]
+    ids = [c.number.get(w, c.escape) for w in words]
     weights, shift = [list(map(float, w)) for w in model.weights.T], list(map(float, model.shift))
-    classes = [m.class_of(w, int(i) if i < c.escape else None) for w, i in zip(words, ids)]
+    classes = [m.class_of(w, i if i < c.escape else None) for w, i in zip(words, ids)]
     start, costs = m.class_of(m.END, c.number[m.END]), [0.0] * len(words)
     for low in range(0, len(words), m.WINDOW):
         units = []
         for k in range(low, min(low + m.WINDOW, len(words))):
-            one, two = (classes[k - j] if k >= j else start for j in (1, 2))
-            units.append((k, int(ids[k]), one * m.STRIDE, (m.CLASSES + two) * m.STRIDE))
+            units.append((k, ids[k], m.CLASSES * m.STRIDE, (classes[k - 1] if k else start) * m.STRIDE))
             if ids[k] == c.escape:
                 letters, *hashes = m.letter_contexts([words[k]])
                 units += [(k, int(x) + c.escape + 1, *(int(model.keys(h)[i]) for h in hashes)) for i, x in enumerate(letters)]
-        for at in range(0, len(units), m.STRETCH):
+        at = 0
+        while at < len(units):
+            size = m.STRETCH[0] if low == 0 and at < m.SOON else m.STRETCH[1]
             moves = []
-            for k, symbol, *keys in units[at : at + m.STRETCH]:
+            for k, symbol, *keys in units[at : at + size]:
                 for step in range(c.offset[symbol], c.offset[symbol] + c.length[symbol]):
-                    xs = [float(c.logit[step]), *(model.cells[key ^ int(c.place[step])] / m.SCALE for key in keys)]
-                    g = int(c.gate[step]) + (xs[2] != 0)
+                    xs = [model.cells[key ^ int(c.place[step])] / m.SCALE for key in keys]
+                    g = int(c.gate[step]) + (xs[1] != 0)
                     z = shift[g] + sum(w * x for w, x in zip(weights[g], xs))
                     p = 1 / (1 + math.exp(-max(-m.LIMIT, min(m.LIMIT, z))))
                     bit = int(c.bit[step])
@@ -51,44 +53,51 @@ def plain_code(words, ids, model):
             for g, error, xs in moves:
                 weights[g] = [w + m.RATE * error * x for w, x in zip(weights[g], xs)]
                 shift[g] += m.REFINE * error
+            at += size
     return costs
 
 
-def stream(rng, n, model):
-    pick = [f"w{k}".encode() for k in range(40)] + [b"unknown", b"zz", b"unknowing", bytes([200, 201])]
-    return lm_mixing.numbered(model.coder, [rng.choice(pick) for _ in range(n)])
+def stream(rng, n):
+    return [rng.choice([f"w{k}".encode() for k in range(40)] + [b"unknown", b"zz", b"unknowing", bytes([200, 201])]) for _ in range(n)]
 
 
 def test_the_coder_equals_a_plain_one_in_any_company():
     rng, model = random.Random(1), toy_model()
-    documents = [stream(rng, n, model) for n in (0, 1, 5, 700, 90, 1300)]
-    for (words, ids), got in zip(documents, lm_mixing.code(documents, model)):
-        assert np.allclose(got, plain_code(words, ids, model), rtol=2e-3, atol=1e-3)
-        assert np.allclose(got, lm_mixing.code([(words, ids)], model)[0], rtol=1e-4, atol=1e-5)
+    documents = [stream(rng, n) for n in (0, 1, 5, 700, 90, 1300)]
+    batch = lm_mixing.Batch(model.coder, documents)
+    for words, got in zip(documents, lm_mixing.code(batch, list(range(len(documents))), model)):
+        assert np.allclose(got, plain_code(words, model), rtol=2e-3, atol=1e-3)
+        assert np.allclose(got, lm_mixing.code(lm_mixing.Batch(model.coder, [words]), [0], model)[0], rtol=1e-4, atol=1e-5)
 
 
 def test_costs_are_a_distribution():
     """Of all that may stand next the probabilities sum to one: words and the escape, then letters and the stop."""
     model = toy_model(3)
     c = model.coder
-    told = [lm_mixing.code([([w], np.array([k]))], model)[0][0] for w, k in c.number.items()]
-    one_letter = np.logaddexp.reduce([-lm_mixing.code([([bytes([b])], np.array([c.escape]))], model)[0][0] for b in range(256)])
-    escape = 1 - np.exp(-np.array(told)).sum()
-    assert 0 < escape < 1 and np.exp(one_letter) < escape
-    paths = [[(int(s), int(c.bit[s])) for s in range(c.offset[k], c.offset[k] + c.length[k])] for k in range(c.escape + 1)]
-    assert abs(sum(2.0 ** -len(p) for p in paths) - 1) < 1e-9  # a complete tree
+    cost = lambda w: lm_mixing.code(lm_mixing.Batch(c, [[w]]), [0], model)[0][0]
+    told = np.exp([-cost(w) for w in c.number if w != lm_mixing.END]).sum() + math.exp(-lm_mixing.code(lm_mixing.Batch(c, [[]]), [0], model)[0][0])
+    escape = 1 - told
+    one_letter = np.exp([-cost(bytes([b])) for b in range(256) if bytes([b]) not in c.number]).sum()
+    assert 0 < escape < 1 and one_letter < escape
+    paths = [int(c.length[k]) for k in range(c.escape + 1)]
+    assert abs(sum(2.0**-n for n in paths) - 1) < 1e-9  # a complete tree
+    paths = [int(c.length[k]) for k in range(c.escape + 1, c.escape + 258)]
+    assert abs(sum(2.0**-n for n in paths) - 1) < 1e-9
 
 
 def test_chunks_follow_the_text_alone():
     rng, model = random.Random(2), toy_model()
     passage = [rng.choice([f"w{k}", f"rare{rng.randrange(500)}"]).encode() for k in range(40) for _ in range(6)]
-    found = []
-    for _ in range(2):
-        words, ids = lm_mixing.numbered(model.coder, [f"p{rng.randrange(999)}".encode() for _ in range(rng.randrange(50, 90))] + passage)
-        first, context, chunk = lm_mixing.chunks(model.coder, words, ids)
-        assert first[0] == 0 and np.diff(np.append(first, len(ids))).max() <= lm_mixing.CHUNK
-        found.append(set(zip(context.tolist(), chunk.tolist())))
-    assert len(found[0] & found[1]) > 10
+    found, documents = [], [[f"p{rng.randrange(999)}".encode() for _ in range(rng.randrange(50, 90))] + passage for _ in range(2)]
+    batch = lm_mixing.Batch(model.coder, documents)
+    first, context, chunk = lm_mixing.chunks(model.coder, batch)
+    assert np.diff(np.append(first, len(batch.ids))).max() <= lm_mixing.CHUNK and set(batch.first) <= set(first)
+    for d in range(2):
+        own = (first >= batch.first[d]) & (first < batch.first[d] + batch.size[d])
+        found.append(set(zip(context[own].tolist(), chunk[own].tolist())))
+        alone = lm_mixing.chunks(model.coder, lm_mixing.Batch(model.coder, [documents[d]]))
+        assert set(zip(alone[1].tolist(), alone[2].tolist())) == found[d]
+    assert len(found[0] & found[1]) > 5
 
 
 def plain_repeats(held, rows):
@@ -256,11 +265,11 @@ def test_scores_equal_plain_sums_of_tables(spark, small):
 
 
 def test_one_tree_by_hand():
-    """Bins 0 to 3 with 10 rows each and gradients that part best at 2, then at 1: three leaves of sum / (curvature + ridge)."""
-    g, h, n = np.array([6.0, 2.0, -5.0, -5.0]), np.full(4, 2.0), np.full(4, 10)
-    assert np.allclose(quality_gam._tree(g, h, n, 2), [1, 1, -1.25, -1.25])
-    assert np.allclose(quality_gam._tree(g, h, n, 3), [1, 1 / 3, -1.25, -1.25])
-    assert np.allclose(quality_gam._tree(g, h, np.full(4, 3), 3), [1, 1, -1.25, -1.25])  # leaves need MIN_LEAF rows
+    """Bins 0 to 3 with 10 rows each and gradients that part best at 2, then at 1: leaves of sum / (curvature + ridge)."""
+    g, h, n = np.array([8.0, 0.0, -10.0, -10.0]), np.full(4, 2.0), np.full(4, 10)
+    assert np.allclose(quality_gam._tree(g, h, n, 2), [1, 1, -2.5, -2.5])
+    assert np.allclose(quality_gam._tree(g, h, n, 3), [8 / 6, 0, -2.5, -2.5])
+    assert np.allclose(quality_gam._tree(g, h, np.full(4, 5), 3), [1, 1, -2.5, -2.5])  # leaves need MIN_LEAF rows
 
 
 # 10 and shared
