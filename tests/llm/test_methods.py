@@ -128,8 +128,9 @@ def test_repeats_equal_a_plain_count(held):
         n = {p: own(p) + extra[p] for p in set(pairs)}
         of = {c: sum(n[p] for p in n if p[0] == c) + c for c, _ in pairs}
         rows = [(*p, n[p], of[p[0]], float(np.float32(rng.random() * 20))) for p in pairs]
-        got = lm_mixing.repeats(held, *(np.array([r[k] for r in rows], float if k == 4 else np.int64) for k in range(5)))
-        assert abs(got - plain_repeats(held, rows)) < 1e-6
+        two = [(d, held, *r) for d in (3, 4) for r in rows]  # documents don't see each other
+        got = lm_mixing.repeats(*(np.array([r[k] for r in two], float if k == 6 else bool if k == 1 else np.int64) for k in range(7)))
+        assert np.allclose(got.reshape(2, -1).sum(1), plain_repeats(held, rows), atol=1e-6)
 
 
 def test_held_out_documents_cost_less_than_by_single_words(spark):
