@@ -62,6 +62,10 @@ def merged_length(symbols: list[str], ranks: dict) -> int:
     return left
 
 
+#: Characters of a pre-token that the cache may keep, so that it is bounded by bytes too.
+CACHED = 64
+
+
 @functools.lru_cache(400_000)
 def piece_tokens(piece: str, file: str) -> int:
     ranks, alphabet, suffix, _ = tokenfiles.merges(file)
@@ -87,7 +91,7 @@ def count_tokens(text: str, file: str) -> int:
     if not text.isascii():
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case of single characters: no final sigma
     pattern = PIECES if UNSURE.search(text) else FAST_PIECES
-    return sum([piece_tokens(p, file) for p in pattern.findall(text.lower())])
+    return sum([piece_tokens(p, file) if len(p) <= CACHED else piece_tokens.__wrapped__(p, file) for p in pattern.findall(text.lower())])
 
 
 def _count(file: str):
