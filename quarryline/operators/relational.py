@@ -118,6 +118,44 @@ def product(*operands: DataFrame) -> DataFrame:
     return reduce(cross, operands)
 
 
+#: Rows of one key that a block of ``block_join`` has, about; pairs that a task makes, about; tasks at most.
+BLOCK_ROWS, TASK_PAIRS, TASKS = 2_000, 4_000_000, 20_000
+
+
+def block_join(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """Equi-join on one variable whose keys have many rows on both sides, so that the result is far larger than both.
+
+    A key's rows are cut into blocks on either side and each pair of blocks is joined apart: a task holds a few blocks
+    and makes about TASK_PAIRS rows, however many a key has. Rows go once to each block of the other side, so what is shuffled is
+    the result's number of rows over BLOCK_ROWS. Operands are read twice.
+    """
+    per_key = lambda d, n: d.where(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias(n))
+    blocks = per_key(left, "_l").join(per_key(right, "_r"), on)
+    pairs = blocks.agg(F.coalesce(F.sum(F.col("_l").cast("double") * F.col("_r")), F.lit(0.0))).first()[0]
+    blocks = blocks.select(on, *(F.ceil(F.col(c) / BLOCK_ROWS).cast("int").alias(c) for c in ("_l", "_r")))
+    tasks = int(min(TASKS, max(1, pairs // TASK_PAIRS)))
+
+    def dealt(d: DataFrame, own: str, others: str, i: str, j: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in d.columns)), F.col(own)).cast("int")
+        out = d.join(blocks, on).select(*d.columns, mine.alias(i), F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias(j))
+        return out.repartition(tasks, on, "_i", "_j")
+
+    return dealt(left, "_l", "_r", "_i", "_j").join(dealt(right, "_r", "_l", "_j", "_i").hint("shuffle_hash"), [on, "_i", "_j"]).drop("_i", "_j")
+
+
+def pairs_sharing(rows: DataFrame, item: str, key: str, first: str, second: str) -> DataFrame:
+    """The set of pairs (first, second) of different items that have a key in common.
+
+    Items that share several keys are paired at the least of them alone, so the pairs need not be made distinct: they are
+    not shuffled. An item's keys are held as one array.
+    """
+    rows = relation(rows.select(item, key))
+    rows = rows.join(rows.groupBy(item).agg(F.collect_set(key).alias("_keys")), item)
+    side = lambda var, keys: rows.select(F.col(item).alias(var), key, F.col("_keys").alias(keys))
+    once = (F.size("_a") == 1) | (F.size("_b") == 1) | (F.array_min(F.array_intersect("_a", "_b")) == F.col(key))
+    return block_join(side(first, "_a"), side(second, "_b"), key).where(F.col(first) != F.col(second)).where(once).select(first, second)
+
+
 def semi(df: DataFrame, other: DataFrame) -> DataFrame:
     """Rows with a match among ``other`` on the shared variables; what a join projected to one side gives."""
     return df.join(other, _shared(df, other), "left_semi")
