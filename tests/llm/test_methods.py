@@ -149,6 +149,21 @@ def test_a_document_that_occurs_twice_stands_apart(spark):
     assert len(trained) > 10 and max(twice) < 0.5 * min(once)
 
 
+def test_no_python_step_feeds_another(spark, monkeypatch):
+    """Each would take a worker of its own, and all idle workers keep what they loaded."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    step, plans = DataFrame.mapInArrow, []
+
+    def watched(df, *args, **kwargs):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return step(df, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", watched)
+    lm_mixing.train(spark.createDataFrame([(k, f"a few words {k} {k % 7}") for k in range(30)], "doc_id long, text string"))
+    assert len(plans) > 3 and not any("MapInArrow" in p for p in plans)
+
+
 # 6
 
 
