@@ -149,6 +149,50 @@ def test_a_document_that_occurs_twice_stands_apart(spark):
     assert len(trained) > 10 and max(twice) < 0.5 * min(once)
 
 
+def test_starting_weights_come_from_every_bit_of_every_training_document(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice([f"w{rng.randrange(30)}", f"rare{rng.randrange(4000)}"]) for _ in range(rng.randrange(60))) for _ in range(300)] + ["long " * 5000]
+    given, plain = [], lm_mixing.fit
+    monkeypatch.setattr(lm_mixing, "fit", lambda cases: given.append(cases) or plain(cases))
+    docs = spark.createDataFrame([(k if k % 9 else None, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    model = lm_mixing.train(docs)[3]
+    c, want = model.coder, np.zeros(2)  # bits of words, of letters
+    for text in texts:
+        for w in [*text.encode().split(), lm_mixing.END]:
+            want[0] += c.length[c.number.get(w, c.escape)]
+            want[1] += 0 if w in c.number else sum(c.length[c.escape + 1 + x] for x in [*w, lm_mixing.STOP])
+    kind = np.arange(lm_mixing.CASES) >> 17 >= 2 * lm_mixing.DEPTHS
+    assert [given[0][~kind].sum(), given[0][kind].sum()] == want.tolist() and want.min() > 1000
+
+
+def test_the_fit_is_the_best():
+    rng = np.random.default_rng(2)
+    x0, x1, gate = rng.integers(-127, 128, 5000), rng.integers(-127, 128, 5000), rng.integers(0, lm_mixing.GATES // 2, 5000) * 2
+    bit = (rng.random(5000) < 1 / (1 + np.exp(-(0.2 + 0.9 * x0 / lm_mixing.SCALE - 0.3 * x1 / lm_mixing.SCALE)))).astype(int)
+    cases = np.zeros(lm_mixing.CASES)
+    np.add.at(cases, lm_mixing.case(gate, x0, x1, bit), 100.0)
+    weights, shift = lm_mixing.fit(cases)
+    used = np.unique(gate) + 1
+    assert np.abs(weights[:, used].mean(1) - [0.9, -0.3]).max() < 0.1 and abs(shift[used].mean() - 0.2) < 0.1
+
+    def loss(w, s):
+        g = gate + (x1 != 0)
+        z = np.clip(s[g] + w[0][g] * x0 / lm_mixing.SCALE + w[1][g] * x1 / lm_mixing.SCALE, -lm_mixing.LIMIT, lm_mixing.LIMIT)
+        return 100 * np.logaddexp(0, np.where(bit, -z, z)).sum() + lm_mixing.FIRM / 2 * (((w - 0.5) ** 2).sum() + (s**2).sum())
+
+    for k in range(20):
+        assert loss(weights, shift) <= loss(weights + rng.standard_normal(weights.shape) * 0.01, shift + rng.standard_normal(len(shift)) * 0.01)
+
+
+def test_cells_without_one_of_their_bits():
+    """As if counted anew, for small counts; the known one taken off an only one leaves nothing."""
+    ones, zeros = (v.ravel() for v in np.meshgrid(np.arange(9.0), np.arange(9.0)))
+    for bit in (0, 1):
+        may = (ones if bit else zeros) > 0
+        x, size = lm_mixing.logits_of(ones[may], zeros[may]), lm_mixing.sizes_of(ones[may], zeros[may])
+        assert (lm_mixing.without(x, size, np.full(may.sum(), bit)) == lm_mixing.logits_of(ones[may] - bit, zeros[may] - (1 - bit))).all()
+
+
 def test_no_python_step_feeds_another(spark, monkeypatch):
     """Each would take a worker of its own, and all idle workers keep what they loaded."""
     from pyspark.sql.classic.dataframe import DataFrame
