@@ -45,7 +45,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies: the one with the smallest doc_id, nulls last.
 
-    Texts of SHINGLE-word similarity THRESHOLD or more are linked (see near_copies); op2's own contract is op2's alone.
+    Texts of SHINGLE-word similarity THRESHOLD or more are linked (see near_copies): SimHash fingerprints are met by op2's
+    segments, bands find what these can't reach, and whole sets decide. op2's own contract is op2's alone.
     """
     rows = _keyed(docs)
     found = durable(near_copies.near_copies(docs))

@@ -1,10 +1,11 @@
-"""Near copies of texts: components of exact Jaccard similarity of word shingles, candidates by MinHash bands.
+"""Near copies of texts: components of exact Jaccard similarity of word shingles, candidates by SimHash and MinHash bands.
 
 A text is the set of its shingles of ``shingle`` words (as in ``simhash``: lower-cased, split at ASCII white space); a
-text of fewer words is one shingle, a text without words the empty set. Equal sets are one node. Nodes that share one
-of BANDS keys, each made of BAND_ROWS minima, are candidates: at similarity 0.8 a pair shares none with probability
-(1 - 0.8 ** 4) ** 32, 5e-8, whatever the lengths. A SimHash fingerprint can't serve here: at 0.8 about ten of its 64
-bits differ, and segments for that radius meet about as many rows as there are.
+text of fewer words is one shingle, a text without words the empty set. Equal sets are one node. Every node has a
+SimHash fingerprint, of its set. Nodes of one fingerprint, and those that ``simhash.fingerprint_links`` joins within its
+radius by segments, are candidates. At 0.8 about ten of 64 bits differ, more than segments can reach, so what
+the fingerprints leave apart is looked for by bands: nodes that share one of BANDS keys, each made of BAND_ROWS minima,
+are candidates too. At similarity 0.8 a pair shares none with probability (1 - 0.8 ** 4) ** 32, 5e-8, whatever the lengths.
 
 Candidates are verified on whole sets, so every link has the similarity asked for. In each bucket all members are
 first compared with the smallest one; what these links leave apart is then compared in all pairs within a task, which
@@ -21,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import components, durable, nullable_text, ship, spread_join
 
 SHINGLE, THRESHOLD, BANDS, BAND_ROWS, SEED = 5, 0.8, 32, 4, 42
@@ -69,7 +71,7 @@ def _node(hashes: np.ndarray) -> int:
 
 
 def signed(rows: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, hash (of the text), node and its band keys of every row."""
+    """doc_id, hash (of the text), node, its fingerprint and its band keys of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -79,9 +81,10 @@ def signed(rows: DataFrame, shingle: int) -> DataFrame:
                 keys = [band_keys(s) for s in sets]
                 cuts = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-                yield pa.record_batch([b["doc_id"], b["hash"], pa.array(map(_node, sets), pa.int64()), lists], names=["doc_id", "hash", "node", "keys"])
+                fp = simhash.majority(np.concatenate(sets).astype(">u8").view(np.uint8).reshape(-1, 8), [*map(len, sets)]) if sets else np.zeros(0, np.uint64)
+                yield pa.record_batch([b["doc_id"], b["hash"], pa.array(map(_node, sets), pa.int64()), pa.array(fp.view(np.int64)), lists], names=["doc_id", "hash", "node", "fp", "keys"])
 
-    return rows.mapInArrow(run, "doc_id long, hash long, node long, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, hash long, node long, fp long, keys array<long>")
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -135,17 +138,32 @@ def _compare(group: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
 
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b): nodes of one fingerprint, each with the smallest of them, and the smallest ones of fingerprints that are linked."""
+    nodes = nodes.where(F.size("keys") > 0).select("node", "fp")  # the empty set is like no other
+    of = durable(nodes.groupBy("fp").agg(F.min("node").alias("hub"), F.count("*").alias("n")))
+    alike = spread_join(nodes, of.where("n > 1"), ["fp"], "n", nodes.count()).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    near = durable(simhash.fingerprint_links(of.select("fp")))
+    ends = near.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n"))
+    ends, total = durable(ends.join(of.select("fp", "hub"), "fp")), near.count()
+    for c in "ab":
+        near = durable(spread_join(near, ends.withColumnRenamed("fp", c), [c], "n", total).drop(c, "n").withColumnRenamed("hub", f"hub_{c}"))
+    return alike.union(near.select("hub_a", "hub_b"))
+
+
 def links(rows: DataFrame, nodes: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """(a, b): verified links that join all nodes that candidate links can join. nodes: node, keys, doc_id and hash of a row."""
+    """(a, b): verified links that join all nodes that candidate links can join. nodes: node, fp, keys, doc_id and hash of a row."""
     spread = nodes.select("node", F.explode("keys").alias("key"))
     buckets = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).where("n > 1")
     # buckets of the same members are one
     buckets = durable(buckets.groupBy("n", "hub", "who").agg(F.min("key").alias("key")).select("key", "hub", "n"))
     small = buckets.count() <= BROADCAST_KEYS
     members = durable(spread.join(F.broadcast(buckets), "key") if small else spread_join(durable(spread), buckets, ["key"], "n", nodes.count() * BANDS))
-    wanted = durable(nodes.select("node", "doc_id", "hash").join(members.select("node").distinct(), "node"))
+    tried = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).union(fingerprint_pairs(nodes))
+    tried = durable(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    met = members.select("node").union(tried.select(F.explode(F.array("a", "b")))).distinct()
+    wanted = durable(nodes.select("node", "doc_id", "hash").join(met, "node"))
     sets = durable(_sets(rows, wanted, shingle))
-    tried = durable(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
     first = durable(_verified(tried, sets, threshold))
     roots = components(first, "a", "b")
     known = durable(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
@@ -170,8 +188,8 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRE
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(nullable_text()).alias("hash"), nullable_text().alias("text"))
     keyed = durable(signed(rows, shingle))
     own = F.struct(F.col("doc_id").isNull().alias("anonymous"), "doc_id", "hash")
-    nodes = durable(keyed.groupBy("node").agg(F.first("keys").alias("keys"), F.min(own).alias("best"), F.count("*").alias("k")))
-    roots = components(links(rows, nodes.select("node", "keys", "best.doc_id", "best.hash"), shingle, threshold), "a", "b")
+    nodes = durable(keyed.groupBy("node").agg(F.first("keys").alias("keys"), F.first("fp").alias("fp"), F.min(own).alias("best"), F.count("*").alias("k")))
+    roots = components(links(rows, nodes.select("node", "fp", "keys", "best.doc_id", "best.hash"), shingle, threshold), "a", "b")
     of = durable(nodes.select("node", "k", "best").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     best = durable(of.groupBy("root").agg(F.min("best").alias("best"), F.count("*").alias("size")))
     kept = spread_join(of.select("node", "k", "root"), best, ["root"], "size", of.count()).select("node", "k", F.col("best.doc_id").alias("kept_id"), F.col("best.hash").alias("kept_hash"))

@@ -42,8 +42,7 @@ _SPREAD = np.array([[v >> (7 - j) & 1 for j in range(8)] for v in range(256)], n
 
 def fingerprints_of(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     """The uint64 fingerprint of each UTF-8 text."""
-    digest, parts, starts, counts = xxhash.xxh64_digest, [], [], []
-    at = 0
+    digest, parts, counts = xxhash.xxh64_digest, [], []
     for text in texts:
         words = text.lower().split()  # bytes: lower-cases A-Z alone, splits at ASCII white space alone
         n = max(1, len(words) - shingle + 1) if words else 0
@@ -56,13 +55,16 @@ def fingerprints_of(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
             parts.extend([digest(line[i:j], SEED) for i, j in zip(begins, ends[shingle - 1 :])])
         elif n:
             parts.append(digest(b" ".join(words), SEED))
-        starts.append(at)
         counts.append(n)
-        at += n
-    out = np.zeros(len(texts), np.uint64)
-    if not at:
+    return majority(np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 8), counts)
+
+
+def majority(h: np.ndarray, counts: list[int]) -> np.ndarray:
+    """The fingerprint of each run of so many hashes (rows of 8 bytes, the highest first): the bits set in over half of it."""
+    out = np.zeros(len(counts), np.uint64)
+    if not len(h):
         return out
-    h = np.frombuffer(b"".join(parts), np.uint8).reshape(at, 8)
+    starts = (np.cumsum(counts) - counts).tolist()
     full = [i for i, n in enumerate(counts) if n]
     # 8 counters of 8 bits a word: sums of up to 255 rows can't carry over
     cuts = [c for i in full for c in range(starts[i], starts[i] + counts[i], 255)]

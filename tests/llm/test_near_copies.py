@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarryline.llm import near_copies
+from quarryline.llm import common, near_copies, simhash
 
 from .test_operators import least_reachable
 
@@ -107,3 +107,31 @@ def test_near_texts_under_one_id_are_one(spark, small):
 def test_a_null_id_never_removes_a_real_one(spark, small):
     rows = [(None, A), (5, NEAR_A), (6, A), (None, B), (9, B), (None, C), (None, C), (None, D), (2, D), (1, D)]
     assert kept_of(spark, rows, small) == sorted([(5, NEAR_A), (9, B), (None, C), (1, D)], key=str)
+
+
+def test_fingerprints_give_candidates_of_their_own(spark):
+    """Without the bands all pairs within four bits are still found, by op2's segments, and those below 0.8 stay apart."""
+    pairs = planted(150, seed=4)
+    texts = [t for p in pairs for t in p]
+    fp = [int(simhash.majority(near_copies.shingles_of(t.encode()).astype(">u8").view("u1").reshape(-1, 8), [len(near_copies.shingles_of(t.encode()))])[0]) for t in texts]
+    near = {k for k in range(150) if (fp[2 * k] ^ fp[2 * k + 1]).bit_count() <= simhash.RADIUS}
+    rows = [(k + 1000 * i, p[i]) for k, p in enumerate(pairs) for i in (0, 1)]
+    assert 10 < len(near) < 140
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df = df.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    nodes = near_copies.signed(df, near_copies.SHINGLE).withColumn("keys", F.array("node"))  # no band is shared
+    found = near_copies.links(df, common.durable(nodes), near_copies.SHINGLE, near_copies.THRESHOLD)
+    of = {r.node: r.doc_id for r in nodes.collect()}
+    assert {frozenset((of[r.a], of[r.b])) for r in found.collect()} == {frozenset((k, k + 1000)) for k in near}
+
+
+def test_pairs_of_one_fingerprint_and_of_linked_ones(spark):
+    rows = [(1, 0, [1]), (2, 0, [2]), (3, 0b1111, [3]), (4, 0b11111 << 9, [4]), (5, -1, [5]), (6, -1 << 3, [6]), (7, 0, [])]
+    found = near_copies.fingerprint_pairs(spark.createDataFrame(rows, "node long, fp long, keys array<long>")).collect()
+    assert {frozenset(p) for p in found} == {frozenset(p) for p in ((1, 2), (1, 3), (5, 6))}
+
+
+def test_fingerprints_of_sets_equal_those_of_texts():
+    text = " ".join(f"w{k}" for k in range(700)).encode()  # no shingle twice
+    h = near_copies.shingles_of(text)
+    assert simhash.majority(h.astype(">u8").view("u1").reshape(-1, 8), [len(h)]) == simhash.fingerprints_of([text], near_copies.SHINGLE)
