@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm import decontaminate, near_copies, packing, pii, quality_gam
-from quarryline.llm.common import checkpoint_folder, durable, nullable_text, table
+from quarryline.llm.common import checkpoint_folder, durable, nullable_text, release, table
 
 #: Keys of rows to drop that go to every task: two numbers each.
 BROADCAST_KEYS = 500_000
@@ -93,4 +93,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             path = spark._jvm.org.apache.hadoop.fs.Path(before)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
         before = f"{folder}/{name}"
+        release(spark)  # the stage's shuffles and checkpoints
     return docs

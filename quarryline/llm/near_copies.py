@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import components, durable, nullable_text, ship, spread_join
+from .common import components, durable, nullable_text, release, ship, spread_join
 
 SHINGLE, THRESHOLD, BANDS, BAND_ROWS, SEED = 5, 0.8, 32, 4, 42
 _RNG = np.random.default_rng(SEED)
@@ -161,12 +161,14 @@ def links(rows: DataFrame, nodes: DataFrame, shingle: int, threshold: float) ->
     members = durable(spread.join(F.broadcast(buckets), "key") if small else spread_join(durable(spread), buckets, ["key"], "n", nodes.count() * BANDS))
     tried = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).union(fingerprint_pairs(nodes))
     tried = durable(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    release(rows.sparkSession)
     met = members.select("node").union(tried.select(F.explode(F.array("a", "b")))).distinct()
     wanted = durable(nodes.select("node", "doc_id", "hash").join(met, "node"))
     sets = durable(_sets(rows, wanted, shingle))
     first = durable(_verified(tried, sets, threshold))
     roots = components(first, "a", "b")
     known = durable(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+    release(rows.sparkSession)
     apart = durable(known.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("z")).where("n > 2 AND r <> z").select("key", "n"))
     rest = durable(spread_join(known, apart, ["key"], "n", known.count()).drop("n"))
     crowd = durable(rest.groupBy("key").count().where(F.col("count") > 2 * BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))

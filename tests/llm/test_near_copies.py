@@ -1,6 +1,7 @@
 """Near copies and the stage that drops them, against exact similarity and planted pairs."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -135,3 +136,40 @@ def test_fingerprints_of_sets_equal_those_of_texts():
     text = " ".join(f"w{k}" for k in range(700)).encode()  # no shingle twice
     h = near_copies.shingles_of(text)
     assert simhash.majority(h.astype(">u8").view("u1").reshape(-1, 8), [len(h)]) == simhash.fingerprints_of([text], near_copies.SHINGLE)
+
+
+def test_few_links_leave_few_files(spark, monkeypatch):
+    """The rounds of components don't leave files for every shuffle partition, and finished rounds leave none."""
+    kept, files = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}, []
+
+    def durable(df):
+        out = common.checkpoint_folder(df.sparkSession) and df.checkpoint(eager=True)
+        files.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(common, "durable", durable)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "61")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {r.node: r.root for r in common.components(spark.createDataFrame([(k, k + 1) for k in range(200) if k % 20 != 7], "a long, b long"), "a", "b").collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert got == {k: max(0, (k - 8) // 20 * 20 + 8) for k in range(201)}
+    assert len(files) > 3 and max(files[1:]) <= common.FEW_PARTS
+
+
+def test_released_shuffles_are_deleted(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {x.rsplit("/", 1)[-1] for x in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    before = shuffles()
+    common.durable(spark.range(1000).groupBy(F.col("id") % 7).count())
+    made = shuffles() - before
+    assert made
+    for _ in range(30):  # Spark holds its last job till the next one, and its cleaner has a thread of its own
+        spark.range(3).collect()
+        common.release(spark)
+        time.sleep(0.1)
+        if not made & shuffles():
+            break
+    assert not made & shuffles()
