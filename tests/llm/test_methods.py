@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -381,3 +382,21 @@ def test_hot_keys_are_joined_apart(spark):
     got = common.spread_join(rows, values, ["k"], "n", 400)
     assert sorted((r.k, r.x, r.n) for r in got.collect()) == sorted((1 if k < 300 else k, k, 300 if k < 300 else 1) for k in range(400))
     assert "BroadcastHashJoin" in got._jdf.queryExecution().toString()
+
+
+def test_training_leaves_few_shuffles(spark, monkeypatch):
+    """Shuffles of tables that are made are deleted while the training goes on."""
+    disk, left, plain = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), [], lm_mixing.fit
+    shuffles = lambda: {x.rsplit("/", 1)[-1].split("_")[1] for x in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    before = shuffles()
+
+    def fit(cases):
+        for _ in range(30):  # Spark's cleaner has a thread of its own
+            if len(shuffles() - before) > 3:
+                time.sleep(0.1)
+        left.extend(shuffles() - before)
+        return plain(cases)
+
+    monkeypatch.setattr(lm_mixing, "fit", fit)
+    lm_mixing.train(spark.createDataFrame([(k, f"a few words {k} {k % 7}") for k in range(30)], "doc_id long, text string"))
+    assert len(left) <= 3
